@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing
+from . import line_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op8_packing": packing.op8_packing,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
