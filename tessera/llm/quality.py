@@ -21,8 +21,11 @@ GOOD_KEPT = 0.999
 #: Scores lie in (0, 1); the threshold is one of so many steps.
 STEPS = 2000
 
+#: Documents are compared with those of their length: bands of word counts by powers of two, the last one open.
+LAST_BAND = 12
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("f_length", "f_word", "f_symbol", "f_dup", "f_repeat", "f_upper", "f_punct", "f_short")
+FEATURES = ("f_word", "f_symbol", "f_dup", "f_repeat", "f_upper", "f_punct", "f_short")
 WINDOW = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +67,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     punct = len(raw) - len(raw.translate(None, b"!?.,;:"))
     m, c = max(n, 1), max(chars, 1)
     features = [
-        np.log1p(n), min(chars / m, 50.0), symbols / c, dup / max(len(lines), 1), repeat / m, upper / c, punct / m,
+        min(chars / m, 50.0), symbols / c, dup / max(len(lines), 1), repeat / m, upper / c, punct / m,
         sum(len(w) < 3 for w in words) / m if n < 2000 else sum(len(w) < 3 for w in words[:: n // 1000]) / len(words[:: n // 1000]),
     ]
     return [n, chars, symbols, dup, repeat], [float(x) for x in features]
@@ -148,22 +151,20 @@ def _scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
     return stats.mapInArrow(run, schema)
 
 
-def threshold(counts: list[tuple[int, int, int]]) -> float:
-    """The score above which documents go, from (step, good rows, bad rows) of labelled rows that pass the base rules.
+def threshold(counts: list[tuple[int, int, int]]) -> int:
+    """The step from which on documents go, from (step, good rows, bad rows) of labelled rows that pass the base rules.
 
-    Of the thresholds that keep GOOD_KEPT of the good rows, the lowest; 1 (none goes) unless most of the labelled rows
-    above it are bad.
+    Of the steps that keep GOOD_KEPT of the good rows, the lowest; none goes unless most labelled rows above it are bad.
     """
-    good = sum(g for _, g, _ in counts)
-    allowed = (1 - GOOD_KEPT) * good
+    allowed = (1 - GOOD_KEPT) * sum(g for _, g, _ in counts)
     above_good = above_bad = 0
-    best = 1.0
+    best = STEPS + 1
     for step, g, b in sorted(counts, reverse=True):
         above_good, above_bad = above_good + g, above_bad + b
         if above_good > allowed:
             break
         if above_bad > above_good:
-            best = step / STEPS
+            best = step
     return best
 
 
@@ -173,7 +174,7 @@ def quality_rules(
     """Rule statistics of every whole text, and whether the document is kept.
 
     A document fails the base rules with under 10 words, or with over 20 % of its words in repeated windows. Of the rest,
-    those with an isolation score above the threshold go. The forest is grown from TREES x GROWN_FROM documents at most,
+    those with an isolation score from their length band's threshold on go. The forest is grown from TREES x GROWN_FROM documents at most,
     taken in the order of a hash of their ids; every document is scored; all labelled rows (label 1: good) calibrate.
     Statistics are computed once, written, and joined back where the documents themselves are asked for.
 
@@ -191,16 +192,18 @@ def quality_rules(
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = written(_scored(stats, forest).withColumn("__failed", failed), "quality-scores")
     said = labels.select(F.col(f"`{id_col}`").alias("__lid"), F.col(f"`{label_col}`").alias("__label")).where("__label IN (0, 1)")
+    band = F.least(F.floor(F.log2(F.greatest("n_words", F.lit(1)))), F.lit(LAST_BAND)).cast("int")
     counts = (
         scored.where(~F.col("__failed"))
         .join(said, F.col("__id") == F.col("__lid"))
-        .groupBy(F.floor(F.col("__score") * STEPS).cast("int").alias("step"))
+        .groupBy(band.alias("band"), F.floor(F.col("__score") * STEPS).cast("int").alias("step"))
         .agg(F.sum("__label").cast("long").alias("good"), F.sum(1 - F.col("__label")).cast("long").alias("bad"))
         .collect()
     )
-    # a score goes if its step is the threshold's or above it
-    limit = threshold([(r.step, r.good, r.bad) for r in counts])
-    kept = ~F.col("__failed") & (F.floor(F.col("__score") * STEPS) < round(limit * STEPS))
+    # a score goes if its step is its band's threshold or above it
+    limits = [threshold([(r.step, r.good, r.bad) for r in counts if r.band == k]) for k in range(LAST_BAND + 1)]
+    limit = F.get(F.array(*[F.lit(x) for x in limits]), band)
+    kept = ~F.col("__failed") & (F.floor(F.col("__score") * STEPS) < limit)
     if not filtering:
         return scored.select(
             F.col("__id").alias(id_col), *BASE, F.col("__failed").alias("base_failed"), kept.alias("kept"), F.col("__score").alias("anomaly")
