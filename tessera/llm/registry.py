@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality
+from . import chat, decontaminate, line_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_decontamination": decontaminate.ORACLE,
 }
