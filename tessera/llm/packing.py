@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 #: Tokens that a block of documents is packed from at once, at least; the rest of a block never waits for the next.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Coders of this Python process by tokenizer path; tasks that run in one worker share their words.
 _coders: dict[str, WordIds] = {}
 #: What a cut costs, in tokens of padding: at the end of a sentence, and elsewhere within a document.
@@ -47,21 +48,49 @@ class WordIds:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (s := t.removesuffix("</w>")) and not s.strip(".!?")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
+        self.last = np.zeros(len(self.ends), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-        return b"".join([self.known[w] for w in words])
+        found = list(map(self.known.get, words))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+            self.learn(list(dict.fromkeys(words[i] for i in at)))
+            for i in at:
+                found[i] = self.known[words[i]]
+        return b"".join(found)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Plain words (letters, then at most a run of stops) go as one text, cut where their last tokens end."""
+        plain, pieces, rest = [], [], []
+        for w in words:
+            s = w.decode("utf-8", "surrogatepass")
+            core = s.rstrip(".,!?;:")
+            if core.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", s) and len(s.lower()) == len(s)):
+                plain.append((w, s))
+                pieces.append(1 + (core != s))
+            else:
+                rest.append((w, s))
+        if plain:
+            ids = np.asarray(self.encode([" ".join(s for _, s in plain)])[0], "<u4")
+            at = np.flatnonzero(self.last[ids]) + 1
+            if len(at) == sum(pieces):
+                raw, begin = ids.tobytes(), 0
+                for (w, _), end in zip(plain, (4 * at[np.cumsum(pieces) - 1]).tolist(), strict=True):
+                    self.known[w] = raw[begin:end]
+                    begin = end
+            else:
+                rest += plain
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            for (w, _), ids in zip(part, self.encode([s for _, s in part]), strict=True):
+                self.known[w] = np.asarray(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def coder_of(path: str) -> WordIds:
