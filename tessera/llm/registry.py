@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, line_dedup, packing, pii, quality, secrets
+from . import chat, decontaminate, jaccard, line_dedup, packing, pii, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_personal_data": pii.op6_personal_data,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
