@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import overlay, packed, written
+from .common import maybe_broadcast, overlay, packed, written
 from .components import components
 
 #: Counters of the sketch that orders shingles; any order gives exact results, a good one short lists.
-SKETCH_BITS = 17
+SKETCH_BITS = 21
 #: Index lists up to this length give pairs; longer ones are compared by blocks.
-SHORT_LIST = 64
+SHORT_LIST = 32
 #: Shingles of a block of sets, about; each set counts as SET_LEAST at least, so that a block's sets are few as well.
 BLOCK_SHINGLES, SET_LEAST = 400_000, 128
 #: A counter at so many times the median marks shingles whose lists are not brought together (and at least HOT_LEAST).
@@ -76,9 +76,7 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                 s = shingles(text.as_py() or "", size)
                 n.append(len(s))
                 dig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                counts += np.bincount(_counter(s), minlength=len(counts)) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(counts, _counter(s), 1)
+                np.add.at(counts, _counter(s), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), batch.column("__th"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.nulls(len(n), pa.binary())], names=schema.names
             )
@@ -104,12 +102,14 @@ def _sketch(facts: DataFrame) -> np.ndarray:
     return np.frombuffer(zlib.decompress(rows[0].part), "<i8") if rows else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
-def _postings(reps: DataFrame, size: int, percent: int, counts: np.ndarray, parts: int) -> DataFrame:
+def _postings(reps: DataFrame, size: int, percent: int, sketch: np.ndarray, parts: int) -> DataFrame:
     """Prefix shingles, dealt to `parts` by shingle and packed: rows (p, blob). Those of full counters are dealt by class,
     with p from `parts` on."""
-    hot = max(HOT_LEAST, HOT_TIMES * int(np.median(counts)))
+    hot = max(HOT_LEAST, HOT_TIMES * int(np.median(sketch)))
+    shared = reps.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         held: list[np.ndarray] = []
         total = 0
 
@@ -210,6 +210,25 @@ def _candidates(blobs: DataFrame, percent: int, parts: int, short: int) -> DataF
     return blobs.mapInArrow(run, schema)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap of a set: the bits of its hashes, four to eight times as many as it has members, within limits."""
+    bits = 1 << min(max(int(4 * len(s)).bit_length(), 8), 17)
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(nx: int, x: bytes, ny: int, y: bytes, percent: int) -> bool:
+    """False only if sets of these sizes and bitmaps can't link: a bit that only one has is a member that only it has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):  # a smaller bitmap is the larger one's halves laid over each other
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * most >= percent * (nx + ny - most)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar enough."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -260,6 +279,19 @@ def links_within(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], pe
     return edges
 
 
+def _close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("na", "x", "nb", "y")]
+            ok = [may_link(*row, percent) for row in zip(*cols, strict=True)]
+            yield batch.select(["a", "b", "cnt"]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = sets.select(F.col("cls").alias("a"), F.col("sig").alias("x")), sets.select(F.col("cls").alias("b"), F.col("sig").alias("y"))
+    return pairs.select("a", "b", "cnt", "na", "nb").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, cnt long")
+
+
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +312,7 @@ def _verify_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         )
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    return units.join(sets, "cls").groupBy("u1", "u2", "u3").applyInArrow(run, "a long, b long")
+    return units.join(sets.select("cls", "blob"), "cls").groupBy("u1", "u2", "u3").applyInArrow(run, "a long, b long")
 
 
 def _weight() -> Column:
@@ -351,9 +383,15 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a part is to hold about a million postings
     parts = max(shuffles, int((total[0] or 0) * (100 - percent) / 100 + (total[1] or 0)) // 1_000_000 + 1)
-    member = own.join(classes.select(F.col("dig").alias("d"), "cls"), F.col("dig") == F.col("d")).where(F.col("__id") == F.col("cls"))
-    member = written(member.select("cls", F.col("__th").alias("th")).distinct(), "jaccard-members")
-    reps = base.join(member, (F.col("__id") == F.col("cls")) & (F.col("__th") == F.col("th"))).select("cls", "__text")
+    # rows that are not their class's first: few, or else joined by a shuffle like any other table
+    copies = own.where("n > 0").join(classes.select(F.col("dig").alias("d"), "cls"), F.col("dig") == F.col("d"))
+    same_id = F.col("__id").eqNullSafe(F.col("cls"))
+    copies = written(copies.where(~same_id).select(F.col("__id").alias("ci"), F.col("__th").alias("ct")).distinct(), "jaccard-copies")
+    # repeated rows are one here; a shuffle of texts only where there are any
+    repeated = not own.groupBy("__id", "__th").count().where("count > 1").isEmpty()
+    rows = base.dropDuplicates(["__id", "__th"]) if repeated else base
+    rows = rows.join(maybe_broadcast(copies, copies.count()), F.col("__id").eqNullSafe(F.col("ci")) & (F.col("__th") == F.col("ct")), "left_anti")
+    reps = rows.where("__id IS NOT NULL").select(F.col("__id").alias("cls"), "__text")
     blobs = _postings(reps, size, percent, counts, parts)
     found = written(_candidates(blobs.repartition(parts, "p"), percent, parts, SHORT_LIST), "jaccard-candidates")
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), *[F.max(c).alias(c) for c in ("la", "lb", "na", "nb")])
@@ -364,15 +402,17 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     posts = written(posts.join(posts.groupBy("tok").count().where("count > 1").select("tok"), "tok", "left_semi"), "jaccard-postings")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(posts.select(F.col("cls").alias("c"))).distinct()
-    asked = written(member.join(needed, member["cls"] == needed["c"], "left_semi"), "jaccard-asked")
+    asked = written(needed, "jaccard-asked")
 
     def pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blob = [shingles(t.as_py() or "", size).tobytes() for t in batch.column("__text")]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(blob, pa.binary())], names=["cls", "blob"])
+            each = [shingles(t.as_py() or "", size) for t in batch.column("__text")]
+            sig, blob = [signature(s) for s in each], [s.tobytes() for s in each]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sig, pa.binary()), pa.array(blob, pa.binary())], names=["cls", "sig", "blob"])
 
-    texts = base.join(asked, (F.col("__id") == F.col("cls")) & (F.col("__th") == F.col("th"))).select("cls", "__text").dropDuplicates(["cls", "__text"])
-    sets = written(texts.mapInArrow(pack_sets, "cls long, blob binary"), "jaccard-sets")
+    texts = reps.join(maybe_broadcast(asked, asked.count()), F.col("cls") == F.col("c"), "left_semi")
+    sets = written(texts.mapInArrow(pack_sets, "cls long, sig binary, blob binary"), "jaccard-sets")
+    pairs = written(_close_pairs(pairs, sets, percent), "jaccard-close")
 
     ways = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "cnt").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "cnt"))
     first = ways.groupBy("x").agg(F.max(F.struct("cnt", -F.col("y"))).alias("m")).select("x", (-F.col("m")["col2"]).alias("y"))
