@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -93,7 +94,10 @@ class VectorIndex(Freezable):
     def rows(self) -> DataFrame | None:
         if self._cached is not None:
             return self._cached
-        return self.spark.read.parquet(*self.segments) if self.segments else None
+        if not self.segments:
+            return None
+        # read one by one: a segment may be a tree of partitions
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.segments])
 
     def _frame(self, ids: Any, vectors: Any) -> DataFrame:
         if isinstance(ids, DataFrame):
@@ -148,6 +152,13 @@ class VectorIndex(Freezable):
         self.segments.append(path)
         self._drop_cache()
 
+    def compact(self) -> None:
+        """Rewrite the rows as one segment, after many small adds."""
+        self._check_not_frozen("compact")
+        if len(self.segments) > 1:
+            rows, self.segments = self.rows, []
+            self._append(rows)
+
     def _write(self, rows: DataFrame, path: str) -> None:
         rows.write.parquet(path)
 

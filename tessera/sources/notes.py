@@ -20,7 +20,7 @@ HASHTAG = r"(?<![\w/])#([a-zA-Z][a-zA-Z0-9_\-/]*)"
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of all *.md below a folder; files in hidden folders, or hidden themselves, are passed over."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     # the root as the file system writes it, whatever dots lead to it
     root = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
