@@ -65,8 +65,10 @@ def wide_hash(col: Column) -> Column:
 def overlay(df: DataFrame, row: str, new: dict[str, Column]) -> DataFrame:
     """The columns of the struct column `row`, with those of `new` put over them; names are compared without case."""
     taken = {k.lower() for k in new}
-    old = [F.col(row)[f.name].alias(f.name) for f in df.schema[row].dataType.fields if f.name.lower() not in taken]
-    return df.select(*old, *[c.alias(k) for k, c in new.items()])
+    fields = [f.name for f in df.schema[row].dataType.fields if f.name.lower() not in taken]
+    # computed first, so that no name in them can mean one of the row's columns
+    done = df.select(row, *[c.alias(f"__new{i}") for i, c in enumerate(new.values())])
+    return done.select(*[F.col(row)[k].alias(k) for k in fields], *[F.col(f"__new{i}").alias(k) for i, k in enumerate(new)])
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

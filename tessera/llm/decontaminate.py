@@ -44,7 +44,7 @@ def _windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataF
 
 
 def _kept_text(text: Column, hits: Column) -> Column:
-    """The text without its hit words: between words stands what stood there."""
+    """The text without its hit words and what stands before each of them."""
     # split() gives what lies between words; piece i goes before word i
     gaps, own = F.split(text, RAW_WORD, -1), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
     spans = F.concat(F.array(F.lit(0)), F.transform(hits, lambda s: s["e"]))
@@ -83,7 +83,7 @@ def decontaminate(
     hashes. Both sets of hashes are counted and broadcast up to `broadcast_rows`; larger ones go by shuffled joins.
 
     Returns the columns of docs, and n_words, n_hit, n_items (long), items (sorted array of item ids as strings) and
-    contaminated; columns of these names are replaced. With remove="spans" the hit words are cut out of the text, with
+    contaminated; columns of these names are replaced. With remove="spans" the hit words are cut out of the text, each with what stands before it; with
     remove="documents" contaminated rows go, and no columns are added. A null text has no words; items without words
     have no window; repeated items count once. Repeated rows get the same result each. Null ids are served like others.
     """

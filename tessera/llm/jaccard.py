@@ -383,10 +383,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a part is to hold about a million postings
     parts = max(shuffles, int((total[0] or 0) * (100 - percent) / 100 + (total[1] or 0)) // 1_000_000 + 1)
+    owned = own.where("n > 0 AND __id IS NOT NULL").join(classes.select(F.col("dig").alias("d"), "cls"), F.col("dig") == F.col("d"))
+    owned = written(owned.select("__id", "__th", "cls").distinct(), "jaccard-owned")
     # rows that are not their class's first: few, or else joined by a shuffle like any other table
-    copies = own.where("n > 0").join(classes.select(F.col("dig").alias("d"), "cls"), F.col("dig") == F.col("d"))
-    same_id = F.col("__id").eqNullSafe(F.col("cls"))
-    copies = written(copies.where(~same_id).select(F.col("__id").alias("ci"), F.col("__th").alias("ct")).distinct(), "jaccard-copies")
+    copies = written(owned.where("__id <> cls").select(F.col("__id").alias("ci"), F.col("__th").alias("ct")), "jaccard-copies")
+    # an id with texts of several classes links them
+    several = owned.groupBy(F.col("__id").alias("i")).agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    shared = owned.join(several, owned["__id"] == several["i"]).where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b"))
     # repeated rows are one here; a shuffle of texts only where there are any
     repeated = not own.groupBy("__id", "__th").count().where("count > 1").isEmpty()
     rows = base.dropDuplicates(["__id", "__th"]) if repeated else base
@@ -418,7 +421,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = ways.groupBy("x").agg(F.max(F.struct("cnt", -F.col("y"))).alias("m")).select("x", (-F.col("m")["col2"]).alias("y"))
     first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges = _verify_pairs(first, sets, percent).unionByName(_verify_units(_first_units(posts), sets, percent))
-    edges = written(edges, "jaccard-edges")
+    edges = written(edges.unionByName(shared), "jaccard-edges")
     roots = components(edges)
     at = roots.select(F.col("node").alias("n1"), F.col("root").alias("r1"))
     open_pairs = pairs.join(at, pairs["a"] == at["n1"], "left").withColumn("ra", F.coalesce("r1", "a")).drop("n1", "r1")

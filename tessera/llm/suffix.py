@@ -354,13 +354,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     per_doc = written(ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-ranges")
     done = keyed.join(per_doc, same, "left").select("__row", "__text", "ranges")
     names = [f.name for f in done.schema["__row"].dataType.fields if f.name.lower() not in {"kept", "n_bytes", "n_removed", "n_spans"}]
-    done = done.select(*[F.col("__row")[k].alias(k) for k in names], F.col("__text"), F.col("ranges").alias("__ranges"))
-    schema = ", ".join(f"`{k}` {done.schema[k].dataType.simpleString()}" for k in names)
+    schema = ", ".join(f"`{k}` {done.schema['__row'].dataType[k].dataType.simpleString()}" for k in names)
+    # numbered names: a column of docs may be called anything
+    done = done.select(*[F.col("__row")[k].alias(f"c{i}") for i, k in enumerate(names)], F.col("__text").alias("t"), F.col("ranges").alias("r"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, cols = [], [[], [], []]
-            for text, ranges in zip(batch.column("__text"), batch.column("__ranges"), strict=True):
+            for text, ranges in zip(batch.column("t"), batch.column("r"), strict=True):
                 raw = _raw(text.as_py())
                 ranges = ranges.as_py() or []
                 change = np.zeros(len(raw) + 1, np.int32)
@@ -372,7 +373,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for c, v in zip(cols, (len(raw), int(gone.sum()), starts), strict=True):
                     c.append(v)
             new = [pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in cols]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], *new], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return done.mapInArrow(cut, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
 
