@@ -171,6 +171,11 @@ def test_chats(spark):
     assert Counter((r.conv_id, r.perspective, r.rendered, r["mask"], r.n_train_chars, r.n_turns) for r in out) == want
     assert all(r.n_chars == len(r.rendered) for r in out)
     assert chat.perspectives(df.limit(0)).count() == 0
+    # parts of a long conversation follow each other
+    whole = {(r.conv_id, r.perspective): r.rendered for r in out if r.conv_id == 1}
+    parts = chat.perspectives(df.where("conv_id = 1"), part_turns=2).orderBy("part").collect()
+    assert max(r.part for r in parts) == 1
+    assert {k: "".join(r.rendered for r in parts if (r.conv_id, r.perspective) == k) for k in whole} == whole
 
 
 def test_canonical_urls(spark):
