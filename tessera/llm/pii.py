@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,34 +104,32 @@ def boost(table: list[tuple[tuple[int, ...], int, int]]) -> list[tuple[int, int,
     """
     if not table:
         return []
-    splits = [(f, v) for f, name in enumerate(FEATURES) for v in range(VALUES[name] - 1)]
-    sides = {(f, v): [x[f] <= v for x, _, _ in table] for f, v in splits}
-    splits = [s for s in splits if any(sides[s]) and not all(sides[s])]
+    x = np.array([v for v, _, _ in table])
+    pos, total = (np.array(c, float) for c in ([p for _, p, _ in table], [p + n for _, p, n in table]))
+    splits = [(f, v) for f, name in enumerate(FEATURES) for v in range(VALUES[name] - 1) if 0 < (x[:, f] <= v).sum() < len(x)]
     if not splits:
         return []
-    scores, trees = [0.0] * len(table), []
+    low = np.array([x[:, f] <= v for f, v in splits], float)
+    scores, trees = np.zeros(len(x)), []
     for _ in range(ROUNDS):
-        grad, hess = [], []
-        for (_, pos, neg), z in zip(table, scores, strict=True):
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            grad.append(pos - (pos + neg) * p)
-            hess.append((pos + neg) * p * (1 - p))
-
-        def leaves(a: list[bool], b: list[bool]) -> list[tuple[float, float]]:
-            out = [(0.0, 1.0)] * 4
-            for x, y, g, h in zip(a, b, grad, hess, strict=True):
-                s = out[2 * x + y]
-                out[2 * x + y] = (s[0] + g, s[1] + h)
-            return out
-
-        def gain(one: tuple[int, int], two: tuple[int, int]) -> float:
-            return sum(g * g / h for g, h in leaves(sides[one], sides[two]))
-
-        first = max(splits, key=lambda s: gain(s, s))
-        second = max(splits, key=lambda s: gain(first, s))
-        values = [SHRINK * g / h for g, h in leaves(sides[first], sides[second])]
-        trees.append((*first, *second, values))
-        scores = [z + values[2 * x + y] for z, x, y in zip(scores, sides[first], sides[second], strict=True)]
+        p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        sums = np.stack((pos - total * p, total * p * (1 - p)))  # gradients and curvatures
+
+        def leaves(one: int, sums: np.ndarray = sums) -> np.ndarray:
+            """Sums of the four leaves that split `one` and each split make: (2, splits, 4)."""
+            by_side = [sums * side for side in (1 - low[one], low[one])]
+            both = [(s @ (1 - low).T, s @ low.T) for s in by_side]
+            return np.stack([*both[0], *both[1]], axis=2)
+
+        def gains(g: np.ndarray) -> np.ndarray:
+            return np.round((g[0] ** 2 / (g[1] + 1)).sum(1), 9)
+
+        first = int(np.argmax([gains(leaves(k))[k] for k in range(len(splits))]))
+        found = leaves(first)
+        second = int(np.argmax(gains(found)))
+        values = SHRINK * found[0, second] / (found[1, second] + 1)
+        trees.append((*splits[first], *splits[second], values.tolist()))
+        scores = scores + values[(2 * low[first] + low[second]).astype(int)]
     return trees
 
 
