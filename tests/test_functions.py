@@ -93,3 +93,12 @@ def test_nearest_takes_the_lowest_of_equals(spark):
 
 def test_snippet(spark):
     assert spark.createDataFrame([("  a \n\t b  " + "x" * 300,)], "t string").select(X.snippet(F.col("t"))).first()[0] == ("a b " + "x" * 300)[:220]
+
+
+def test_sql_functions(spark):
+    from tessera.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>").createOrReplaceTempView("v")
+    rows = spark.sql("SELECT vec_dot(a, b), vec_norm(a), vec_distance2(a, b), vec_cosine(a, b) FROM v").collect()
+    assert [tuple(r) for r in rows] == [(24.0, 5.0, 2.0, 0.96), (0.0, 0.0, 1.0, None)]
