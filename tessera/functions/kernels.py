@@ -17,14 +17,20 @@ def vectors_of(column: pa.Array) -> np.ndarray:
 
 
 def bytes_of(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equal lengths as a matrix of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    """A binary column of equal lengths as a matrix of bytes, without a copy."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, width), np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, width)
 
 
 def rows_of(matrix: np.ndarray) -> pa.Array:
-    """The rows of a matrix as binary values."""
-    raw, step = np.ascontiguousarray(matrix).tobytes(), matrix.strides[0] if matrix.flags.c_contiguous else matrix.shape[1] * matrix.itemsize
-    return pa.array([raw[i * step : (i + 1) * step] for i in range(len(matrix))], pa.binary())
+    """The rows of a matrix as binary values, without a copy."""
+    matrix = np.ascontiguousarray(matrix)
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix)])
 
 
 def norms(x: np.ndarray) -> np.ndarray:

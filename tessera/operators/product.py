@@ -224,7 +224,7 @@ class InvertedIndex(ProductIndex):
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             if exact:
-                out = np.frombuffer(b"".join(batch.column("full").to_pylist()), np.float16).reshape(-1, pdim).astype(np.float64) @ query.T
+                out = kernels.bytes_of(batch.column("full"), 2 * pdim).view(np.float16).astype(np.float64) @ query.T
             else:
                 at = batch.column("cluster_id").to_numpy(zero_copy_only=False)
                 out = kernels.product_scores(kernels.bytes_of(batch.column("codes"), m), tables) + coarse[at]
