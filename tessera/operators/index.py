@@ -254,10 +254,11 @@ class VectorIndex(Freezable):
         q = self.spark.createDataFrame([(0, [float(x) for x in np.asarray(query).ravel()])], "query_id long, embedding array<double>")
         return [(r.id, r.score) for r in self.search_batch(q, k, filter_ids=filter_ids, **options).orderBy("rank").collect()]
 
-    def _rescored(self, pool: DataFrame, query_ids: list, scorer: Scorer, k: int) -> DataFrame:
-        """Rows of a pool (query_id, id) scored anew, each for its own query; the rows come back by a join on id."""
+    def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Scorer, k: int) -> DataFrame:
+        """Rows of a pool (query_id, id) of at most pool_rows, scored anew, each for its own query; `rows` hold them."""
         place = {q: j for j, q in enumerate(query_ids)}
-        rows = self.rows.join(pool.select("query_id", "id"), "id")
+        pool = pool.select("query_id", "id")
+        rows = rows.join(F.broadcast(pool) if pool_rows <= BROADCAST_IDS else pool, "id")
         schema = result_schema(pool.schema["query_id"].dataType, pool.schema["id"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,7 +198,8 @@ class InvertedIndex(ProductIndex):
         return encode
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        rows.repartition("cluster_id").write.partitionBy("cluster_id").parquet(path)
+        # a task for a cluster, and several for a very large one
+        rows.hint("rebalance", "cluster_id").write.partitionBy("cluster_id").parquet(path)
 
     def probes(self, q: np.ndarray, nprobe: int, allowed: np.ndarray | None = None) -> np.ndarray:
         """The clusters of each query (prepared): largest 2<q,c> - |c|^2 of those allowed, ties by number."""
@@ -259,7 +260,7 @@ class InvertedIndex(ProductIndex):
             return ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, k, scorer), k)
         pool = max(pool, k)
         found = ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, pool, scorer), pool)
-        return self._rescored(found, ids, self._scorer(q, exact=True), k)
+        return self._rescored(rows.select("id", "full", "norm"), found, pool * len(ids), ids, self._scorer(q, exact=True), k)
 
     def cluster_sizes(self) -> DataFrame:
         """(cluster_id, n, start) of every cluster, empty ones too: start is the rows in the clusters before."""

@@ -135,7 +135,7 @@ class ResidualIndex(VectorIndex):
         if m is None:
             return super()._search_block(ids, query_type, q, k, filter_ids, {})
         pool = ranked(scan(self._filtered(filter_ids).select("id", "codes1"), ids, query_type, m, self._scorer(q, coarse=True)), m)
-        return self._rescored(pool, ids, self._scorer(q), k)
+        return self._rescored(self.rows, pool, m * len(ids), ids, self._scorer(q), k)
 
     def bytes_per_vector(self) -> int:
         return 2 * self.pdim + (0 if self.normalized else 4)

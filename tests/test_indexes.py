@@ -332,3 +332,24 @@ def test_notes(spark, tmp_path):
 def test_chunks_edges(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n\n ",), ("a\n\nb",), ("x" * 2000,)], "t string")
     assert [r[0] for r in df.select(notes.chunks(F.col("t"))).collect()] == [[], [], [], ["a\n\nb"], ["x" * 2000]]
+
+
+def letters(texts):
+    return [[float(t.lower().count(c)) + 0.1 for c in "pqrstuvw"] for t in texts]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.notes import main
+
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.md").write_text("ppp ppp #work")
+    (tmp_path / "n" / "b.md").write_text("qqq qqq #home")
+    where = ["--store", f"{tmp_path}/s"]
+    embedder = ["--embedder", "tests.test_indexes:letters"]
+    assert main(["init", f"{tmp_path}/n", *where, *embedder]) == 0
+    assert main(["search", "ppp", *where, *embedder, "-k", "1"]) == 0
+    assert main(["search", "ppp", *where, *embedder, "--tag", "home"]) == 0
+    assert main(["status", *where]) == 0 and main(["clear", *where]) == 0 and main(["clear", *where]) == 1
+    said = capsys.readouterr().out
+    assert said.startswith("2 chunks\n1. ") and "a.md#0 [work]\n   ppp ppp #work\n" in said and "b.md#0 [home]" in said
+    assert "2 chunks, 2 notes" in said
