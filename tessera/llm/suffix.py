@@ -25,6 +25,9 @@ ANCHOR, BLOCK = 32, 1 << 20
 #: An anchor is frequent with one of so many runs or more (there are as many such anchors at most), and in a task with FREQUENT_LEAST.
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 256
 
+#: Runs, and stretches of text in question, that a task is dealt on average at most.
+RUNS_IN_TASK, STRETCHES_IN_TASK = 1_000_000, 50_000
+
 _ODD = 0x9E3779B97F4A7C15
 _RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _WIN = np.dtype([("wh", "<u8"), ("id", "<i8"), ("th", "<i8"), ("at", "<i4"), ("times", "<i4")])
@@ -104,8 +107,8 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def _frequent(base: DataFrame, length: int) -> set[int]:
-    """Anchors of at least one in FREQUENT_SHARE of all runs: so many at most, counted over all documents."""
+def _frequent(base: DataFrame, length: int) -> tuple[set[int], int]:
+    """Anchors of at least one in FREQUENT_SHARE of all runs (so many at most), and the number of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = []
@@ -120,7 +123,7 @@ def _frequent(base: DataFrame, length: int) -> set[int]:
     rows = written(base.select("__text").mapInArrow(run, "key long, n long, all long"), "suffix-frequent")
     total = rows.agg(F.sum("all")).first()[0] or 0
     often = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(total / FREQUENT_SHARE, FREQUENT_LEAST))
-    return {r.key for r in often.select("key").collect()}
+    return {r.key for r in often.select("key").collect()}, total
 
 
 def _dealt(rows: np.ndarray, key: np.ndarray, parts: int, kind: int) -> list[tuple[int, int, bytes]]:
@@ -337,19 +340,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = packed(docs, id_col, text_col)
     null_id = -(2**63)  # packed rows hold no nulls; together with the text's hash it is as good as any id
     keyed = base.withColumn("__id", F.coalesce(F.col("__id").cast("long"), F.lit(null_id)))
-    frequent = _frequent(keyed, length)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent, runs = _frequent(keyed, length)
+    # a task holds what is dealt to it: so much of it, however few partitions the session asks for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // RUNS_IN_TASK + 1)
     verdicts = written(_rank_runs(keyed, length, frequent, parts), "suffix-runs")
     asked = verdicts.where("kind > 1")
     per_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi", "kind", "key")).alias("runs"))
     per_doc = written(per_doc, "suffix-questions")
     n = per_doc.count()
+    stretches = asked.count()
     same = (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))
     ids = per_doc.select("id", "th")
     texts = keyed.select("__id", "__th", "__text").join(maybe_broadcast(ids, n), same, "left_semi")
     # rows of equal id and text have asked once for all
     texts = texts.dropDuplicates(["__id", "__th"]).join(per_doc, same).select("__id", "__th", "__text", "runs")
-    settled = _settle_windows(texts, length, parts)
+    settled = _settle_windows(texts, length, max(parts, stretches // STRETCHES_IN_TASK + 1))
     ranges = verdicts.where("kind = 1").select("id", "th", "lo", "hi").unionByName(settled)
     per_doc = written(ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-ranges")
     done = keyed.join(per_doc, same, "left").select("__row", "__text", "ranges")
