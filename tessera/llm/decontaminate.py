@@ -80,7 +80,7 @@ def decontaminate(
     or the whole of a shorter one. Windows go by their lengths. For windows of n words a document is probed at every
     s-th place with the hashes of the items' g-grams, g = n // 2 + 1 and s = n - g + 1: any occurrence of a window holds
     such a place, so none is missed. Documents with a hit there are scanned at each place for whole windows, by 128-bit
-    hashes. Both sets of hashes are counted and broadcast up to `broadcast_rows`; larger ones go by shuffled joins.
+    hashes. Words are counted on the way. Both sets of hashes are counted and broadcast up to `broadcast_rows`; larger ones go by shuffled joins.
 
     Returns the columns of docs, and n_words, n_hit, n_items (long), items (sorted array of item ids as strings) and
     contaminated; columns of these names are replaced. With remove="spans" the hit words are cut out of the text, each with what stands before it; with
@@ -108,15 +108,15 @@ def decontaminate(
             some = some.unionByName(x)
         some = written(some.select("h.a", "h.b").distinct(), "window-grams")
         probed = base.select("__id", "__th", words_of(F.col("__text")).alias("__w")).select(
-            "__id", "__th", F.explode(F.flatten(F.array(*probes))).alias("__h")
+            "__id", "__th", F.size("__w").alias("__n"), F.explode_outer(F.flatten(F.array(*probes))).alias("__h")
         )
-        near = (
-            probed.select("__id", "__th", F.col("__h.a").alias("a"), F.col("__h.b").alias("b"))
-            .join(fits(some), ["a", "b"], "left_semi")
-            .select(F.col("__id").alias("__nid"), F.col("__th").alias("__nth"))
-            .distinct()
-        )
-        near = written(near, "near-documents")
+        probed = probed.select("__id", "__th", "__n", F.col("__h.a").alias("__pa"), F.col("__h.b").alias("__pb"))
+        known = some.select("a", "b", F.lit(True).alias("__hit"))
+        probed = probed.join(fits(known), (F.col("__pa") == F.col("a")) & (F.col("__pb") == F.col("b")), "left")
+        # words are counted where they are at hand; a row for each document leaves a task
+        seen = probed.groupBy(F.col("__id").alias("__nid"), F.col("__th").alias("__nth")).agg(F.max("__n").cast("long").alias("__n_words"), F.count("__hit").alias("__probes"))
+        seen = written(seen, "seen-documents")
+        near = seen.where("__probes > 0").select("__nid", "__nth")
         few = fits(near)
         found = base.select(*cols).join(few, F.col("__id").eqNullSafe(F.col("__nid")) & (F.col("__th") == F.col("__nth")), "left_semi")
         found = found.dropDuplicates(["__id", "__th"])
@@ -142,14 +142,16 @@ def decontaminate(
     else:
         hits = spark.createDataFrame([], "__hid string, __hth bigint, __items array<string>, __n_hit bigint, __spans array<struct<s:int,e:int>>")
         hits = hits.withColumn("__hid", F.col("__hid").cast(docs.schema[id_col].dataType))
+        seen = base.select(F.col("__id").alias("__nid"), F.col("__th").alias("__nth"), F.size(words_of(F.col("__text"))).cast("long").alias("__n_words"))
+        seen = seen.dropDuplicates(["__nid", "__nth"])
     same = F.col("__id").eqNullSafe(F.col("__hid")) & (F.col("__th") == F.col("__hth"))
     if remove == "documents":
         return overlay(base.join(fits(hits.select("__hid", "__hth")), same, "left_anti"), "__row", {})
-    n_words = F.regexp_count(F.col("__text"), F.lit(RAW_WORD)).cast("long")
-    both = (base if remove else base.withColumn("__n_words", n_words)).join(hits, same, "left")
+    both = base.join(hits, same, "left")
     if remove == "spans":
         text = F.when(F.col("__n_hit") > 0, _kept_text(F.col("__text"), F.col("__spans"))).otherwise(F.col("__text"))
         return overlay(both, "__row", {text_col: text})
+    both = both.join(seen, F.col("__id").eqNullSafe(F.col("__nid")) & (F.col("__th") == F.col("__nth")), "left")
     n_hit = F.coalesce("__n_hit", F.lit(0)).cast("long")
     found = F.coalesce("__items", F.array().cast("array<string>"))
     new = {
