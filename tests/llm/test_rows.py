@@ -301,3 +301,14 @@ def test_quality(spark):
 def test_sha_of_texts(spark):
     out = line_dedup.line_dedup(docs_of(spark, [(1, "é\n漢")]))
     assert out.select(F.sha2(F.encode("text", "UTF-8"), 256)).first()[0] == hashlib.sha256("é\n漢".encode()).hexdigest()
+
+
+def test_word_ids_equal_the_tokenizer(monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    coder, rng = packing.WordIds(packing.default_tokenizer()), random.Random(1)
+    letters = [*"abcABC.,!?;:'0129éÉßẞİıΣσςǅﬁªº漢٣²½ñÅK_-@#<|>", "̃", "‍", "\x1c", "\x85", *" " * 6, "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(30))
+        assert coder(text) == np.asarray(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
