@@ -26,7 +26,9 @@ ANCHOR, BLOCK = 32, 1 << 20
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 256
 
 #: Runs, and stretches of text in question, that a task is dealt on average at most.
-RUNS_IN_TASK, STRETCHES_IN_TASK = 1_000_000, 50_000
+RUNS_IN_TASK, STRETCHES_IN_TASK = 1_000_000, 20_000
+#: Rows that a task gathers before it passes them on.
+FLUSH_ROWS = 250_000
 
 _ODD = 0x9E3779B97F4A7C15
 _RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
@@ -185,7 +187,7 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
                 if full.any():
                     often.append(rows[full])
                 total += len(rows)
-                if total >= 500_000:
+                if total >= FLUSH_ROWS:
                     rows = np.concatenate(held)
                     yield _blobs(_dealt(rows, rows["key"] >> np.uint64(20), parts, 0))
                     held, total = [], 0
@@ -213,6 +215,19 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
     return base.select("__id", "__th", "__text").mapInArrow(deal, "kind long, p long, blob binary").repartition(parts, "p").mapInArrow(judge, _VERDICT)
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Which values come twice or more."""
+    order = np.argsort(x)
+    s = x[order]
+    same = s[1:] == s[:-1]
+    twice = np.zeros(len(x), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    out = np.empty(len(x), bool)
+    out[order] = twice
+    return out
+
+
 def _ranges(ids: np.ndarray, ths: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Windows of documents as ranges of neighbours."""
     order, _ = _groups(ids, ths, at)
@@ -266,31 +281,32 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
                         size += n
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(ps, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "p", "blob"])
-            if size >= 2_000_000:
+            if size >= 2 * FLUSH_ROWS:
                 yield flush()
                 size = 0
         if often:
             yield flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: list[np.ndarray] = []  # a row for each window, with its anchor mixed in
-        heads, texts, size = [], [], 0
+        # of each window its print (with its anchor mixed in), the stretch it is of, and its place there
+        prints, stretches, places = [], [], []
+        known: list[np.ndarray] = []
+        heads, texts, size, count = [], [], 0, 0
 
         def rank() -> None:
-            raw = np.concatenate([np.frombuffer(t, np.uint8) for t in texts])
+            nonlocal count
+            raw = np.frombuffer(b"".join(texts), np.uint8)
             head = np.concatenate(heads)
-            asks = head["hi"] >= 0
-            hi = np.where(asks, head["hi"], -1 - head["hi"])
-            n = hi - head["lo"] + 1
-            lengths = np.array([len(t) for t in texts])
-            begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            n = np.where(head["hi"] >= 0, head["hi"], -1 - head["hi"]) - head["lo"] + 1
+            begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
             of = np.repeat(np.arange(len(head)), n)
-            k = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            rows = np.empty(len(of), _WIN)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = begin[of] + k
-            rows["wh"] = Prints(raw).of(at, at + length) ^ _mix(head["key"][of])
-            rows["id"], rows["th"], rows["at"], rows["times"] = head["id"][of], head["th"][of], head["lo"][of] + k, np.where(asks[of], 1, -1)
-            marks.append(rows)
+            prints.append(Prints(raw).of(at, at + length) ^ _mix(head["key"])[of])
+            stretches.append((of + count).astype(np.int32))
+            places.append(k.astype(np.int32))
+            known.append(head)
+            count += len(head)
             heads.clear()
             texts.clear()
 
@@ -312,14 +328,17 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
                     yield _ranges(rows["id"], rows["th"], rows["at"])
         if heads:
             rank()
-        for all_rows in (marks, often):
-            if all_rows:
-                rows = np.concatenate(all_rows)
-                order, group = _groups(rows["wh"])
-                rows = rows[order]
-                again = (np.bincount(group)[group] > 1) & (rows["times"] == 1)
-                rows = rows[again]
-                yield _ranges(rows["id"], rows["th"], rows["at"])
+        if prints:
+            again = _repeated(np.concatenate(prints))
+            prints.clear()
+            head, of, k = np.concatenate(known), np.concatenate(stretches), np.concatenate(places)
+            again &= (head["hi"] >= 0)[of]  # of the rest the answer is known
+            head, k = head[of[again]], k[again]
+            yield _ranges(head["id"], head["th"], head["lo"] + k)
+        if often:
+            rows = np.concatenate(often)
+            rows = rows[_repeated(rows["wh"]) & (rows["times"] == 1)]
+            yield _ranges(rows["id"], rows["th"], rows["at"])
 
     return questions.mapInArrow(deal, "kind long, p long, blob binary").repartition(parts, "p").mapInArrow(settle, "id long, th long, lo long, hi long")
 
