@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 #: Tokens that a block of documents is packed from at once, at least; the rest of a block never waits for the next.
 BLOCK_TOKENS = 1 << 20
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 600_000
+#: Words whose ids a worker keeps, and as many again from before: words in use stay when the rest goes.
+CACHED_WORDS = 500_000
 #: Coders of this Python process by tokenizer path; tasks that run in one worker share their words.
 _coders: dict[str, WordIds] = {}
 #: What a cut costs, in tokens of padding: at the end of a sentence, and elsewhere within a document.
@@ -45,6 +45,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (s := t.removesuffix("</w>")) and not s.strip(".!?")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
@@ -55,38 +56,66 @@ class WordIds:
         words = text.encode("utf-8", "surrogatepass").split()
         found = list(map(self.known.get, words))
         if None in found:
-            at = [i for i, x in enumerate(found) if x is None]
             if len(self.known) > CACHED_WORDS:
-                self.known.clear()
+                self.before, self.known = self.known, {}
+            at = [i for i, x in enumerate(found) if x is None]
             self.learn(list(dict.fromkeys(words[i] for i in at)))
             for i in at:
                 found[i] = self.known[words[i]]
         return b"".join(found)
 
     def learn(self, words: list[bytes]) -> None:
-        """Plain words (letters, then at most a run of stops) go as one text, cut where their last tokens end."""
-        plain, pieces, rest = [], [], []
+        """The ids of words. Plain ones (letters, then at most a run of stops) are put together of the ids of their letters
+        in lower case and of the stops; unknown letters go as one text, which is cut where last tokens end."""
+        known, before = self.known, self.before
+        plain: list[tuple[bytes, bytes, bytes]] = []
+        letters: dict[bytes, None] = {}
+        rest = []
         for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            core = s.rstrip(".,!?;:")
-            if core.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", s) and len(s.lower()) == len(s)):
-                plain.append((w, s))
-                pieces.append(1 + (core != s))
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+                continue
+            core = w.rstrip(b".,!?;:")
+            if core.isalpha():  # ASCII
+                low = core.lower()
             else:
-                rest.append((w, s))
-        if plain:
-            ids = np.asarray(self.encode([" ".join(s for _, s in plain)])[0], "<u4")
-            at = np.flatnonzero(self.last[ids]) + 1
-            if len(at) == sum(pieces):
+                s = core.decode("utf-8", "surrogatepass")
+                low = s.lower()
+                # Python lower-cases a final sigma by its place, the tokenizer doesn't
+                if not (s.isalpha() and "\u03a3" not in s and unicodedata.is_normalized("NFC", s) and len(low) == len(s)):
+                    rest.append(w)
+                    continue
+                low = low.encode()
+            plain.append((w, low, w[len(core) :]))
+            if low not in known:
+                if (ids := before.get(low)) is not None:
+                    known[low] = ids
+                else:
+                    letters[low] = None
+        if letters:
+            new = list(letters)
+            ids = np.asarray(self.encode([b" ".join(new).decode()])[0], "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(new):
                 raw, begin = ids.tobytes(), 0
-                for (w, _), end in zip(plain, (4 * at[np.cumsum(pieces) - 1]).tolist(), strict=True):
-                    self.known[w] = raw[begin:end]
+                for w, end in zip(new, (4 * ends).tolist(), strict=True):
+                    known[w] = raw[begin:end]
                     begin = end
+            else:  # a letter that the tokenizer takes for none
+                self.whole(new)
+        for w, low, stops in plain:
+            if not stops:
+                known[w] = known[low]
             else:
-                rest += plain
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            for (w, _), ids in zip(part, self.encode([s for _, s in part]), strict=True):
+                if stops not in known:
+                    self.whole([stops])
+                known[w] = known[low] + known[stops]
+        self.whole(rest)
+
+    def whole(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            for w, ids in zip(part, self.encode([w.decode("utf-8", "surrogatepass") for w in part]), strict=True):
                 self.known[w] = np.asarray(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
