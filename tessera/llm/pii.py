@@ -21,13 +21,14 @@ PATTERNS = {
 }
 _PART = r"(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: Generators of candidates; they overlap each other and the base on purpose.
+#: Generators of candidates; they overlap each other and the base on purpose. Numbers end in a digit: their bounded loops
+#: give back what stands after it, a space, full stop, bracket or hyphen.
 GENERATORS = {
     "mail": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}+)++",
-    "digits": r"(?<![0-9+])[0-9(][0-9\x20().-]{5,28}+(?<=[0-9])",
+    "digits": r"(?<![0-9+])[0-9(][0-9\x20().-]{5,28}(?<=[0-9])",
     "dotted": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,}+",
     "colons": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+",
-    "plus": r"\+[0-9][\x20().0-9-]{5,28}+(?<=[0-9])",
+    "plus": r"\+[0-9][\x20().0-9-]{5,28}(?<=[0-9])",
 }
 ORDER = ["email", "ip", "card", "phone", "likely"]
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, packing, pii, quality, secrets
+from tessera.llm.spans import find_spans
 
 from .helpers import CLASHING, docs_of, lower, odd_rows, words_of
 
@@ -188,6 +189,16 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def test_numbers_before_any_sign_are_candidates(spark):
+    number, plus = ["555-123-4567", "4104321470856409", "(555) 123-4567", "123-45-6789"], ["+49 30 1234567", "+1 (935) 555-6637"]
+    ends = [" today", ". ", ".", ")", ") ", "-", " - x", "...", ", x", "\n", "", "(", " " * 40 + "x"]
+    cases = [(kind, n, end) for kind, ns in (("digits", number), ("plus", plus)) for n in ns for end in ends]
+    base = spark.createDataFrame([(i, 0, f"call {n}{end}") for i, (_, n, end) in enumerate(cases)], "__id long, __th long, __text string")
+    got = Counter((r["__id"], r.kind, r.match, r.s) for r in find_spans(base, pii.GENERATORS).where("kind IN ('digits', 'plus')").collect())
+    for i, (kind, n, end) in enumerate(cases):
+        assert got[(i, kind, n, 5)] == 1, (n, end)
+
+
 def test_boosting_learns_and_calibrates():
     x = lambda g, d, c: (g, d, 0, 1, 0, c, 1, 1, 0)
     table = [(x(0, 3, 1), 90, 5), (x(0, 3, 0), 5, 95), (x(0, 1, 1), 40, 60), (x(1, 1, 0), 0, 50)]
