@@ -309,6 +309,14 @@ def test_quality(spark):
     assert all(r.kept != r.base_failed for r in unlabelled)
 
 
+@pytest.mark.parametrize("n", [3, 1998, 2001, 3000, 12_000])
+def test_short_words_of_texts_of_any_length(n):
+    for first in range(3):
+        words = [["ab", "abcd", "abcde"][(first + i) % 3] for i in range(n)]
+        features = dict(zip(quality.FEATURES, quality.statistics(" ".join(words))[1], strict=True))
+        assert features["f_short"] == sum(len(w) < 3 for w in words) / n
+
+
 def test_sha_of_texts(spark):
     out = line_dedup.line_dedup(docs_of(spark, [(1, "é\n漢")]))
     assert out.select(F.sha2(F.encode("text", "UTF-8"), 256)).first()[0] == hashlib.sha256("é\n漢".encode()).hexdigest()
