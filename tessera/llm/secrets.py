@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import overlay, packed, written
@@ -15,6 +17,10 @@ PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]++", "hex": r"[0-9a-f]{16,
 ASSIGN_PARTS = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 #: Candidates of the battery.
 RUN = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Pieces of a run that no alphabet holds: what stands between inner "=", and of these the ones that mix signs of two
+#: alphabets, cut at those of one, of the other and of both.
+VALUE = {"value": r"[^=]{20,}+(?:=++\z)?"}
+PARTS = {"url": r"[^/+]{20,}+", "std": r"[^_-]{20,}+", "word": r"[^/+_-]{20,}+"}
 ORDER = ["assign", "access", "hex", "random"]
 
 #: Encodings, from the narrowest, with their alphabets; a run belongs to the first that holds it.
@@ -98,6 +104,23 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("p", p).select(*tokens.columns, "encoding", "p")
 
 
+def _pieces(runs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The matches of `kinds` within runs, with their places in the text."""
+    inner = find_spans(runs.select(F.struct("__id", "s").alias("__id"), "__th", F.col("match").alias("__text")), kinds)
+    at = F.col("__id.s")
+    out = inner.select(F.col("__id.__id").alias("__id"), "__th", (at + F.col("s")).alias("s"), (at + F.col("e")).alias("e"), "match")
+    return out.dropDuplicates(["__id", "__th", "s", "e"])
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """What of the runs is tested: those that an alphabet holds, and the pieces of the others of 20 characters or more."""
+    held = reduce(lambda a, b: a | b, [F.col("match").rlike(pattern) for pattern, _ in ALPHABETS.values()])
+    runs = runs.select("__id", "__th", "s", "e", "match")
+    values = _pieces(runs.where(~held), VALUE)
+    parts = _pieces(values.where(~held), PARTS)
+    return runs.where(held).unionByName(values.where(held)).unionByName(parts)
+
+
 def thresholds(counts: dict[tuple[str, int], dict[int, int]]) -> dict[tuple[str, int], int]:
     """The lowest step of p from which on a group's tokens are taken for random, by encoding and band.
 
@@ -120,9 +143,10 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Spans of secrets in every whole text: assignments, access keys, hexadecimal runs, and random-looking runs.
 
     The base spans are the matches of PATTERNS that are long enough. Other runs of 20 characters or more that mix digits
-    and letters go through randomness(); the p of all of them, counted by encoding, length band and step, set a
-    threshold for each group (thresholds()), so that short runs, which tests tell apart less well, answer for
-    themselves. SQL functions only; matches are few against the text, and only they are shuffled.
+    and letters go through randomness(), in pieces where no alphabet holds them (candidates()); the p of all of them,
+    counted by encoding, length band and step, set a threshold for each group (thresholds()), so that short runs, which
+    tests tell apart less well, answer for themselves. Pieces found random that overlap are one span. SQL functions
+    only; matches are few against the text, and only they are shuffled.
 
     Returns the columns of docs, and n_assign, n_access, n_hex (long), base_spans and spans (strings of kind:start:end,
     code points, by start and kind); columns of these names are replaced. A null text is empty and has no spans. Repeated
@@ -141,15 +165,20 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     band = F.lit(0)
     for k in BANDS[1:]:
         band = band + F.when(F.col("e") - F.col("s") >= k, 1).otherwise(0)
-    tested = randomness(rows.where((F.col("kind") == "run") & mixed)).withColumn("band", band)
-    tested = written(tested.withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")).withColumn("token", F.xxhash64("match")).drop("match", "before", "after"), "secret-tests")
+    tested = randomness(candidates(rows.where(F.col("kind") == "run")).where(mixed)).withColumn("band", band)
+    tested = written(tested.withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")).withColumn("token", F.xxhash64("match")).drop("match"), "secret-tests")
     counts: dict[tuple[str, int], dict[int, int]] = {}
     for r in tested.groupBy("encoding", "band", "step").agg(F.count_distinct("token").alias("n")).collect():  # encodings x bands x steps
         counts.setdefault((r.encoding, r.band), {})[r.step] = r.n
     limit = F.lit(STEPS)
     for (encoding, k), step in thresholds(counts).items():
         limit = F.when((F.col("encoding") == encoding) & (F.col("band") == k), F.lit(step)).otherwise(limit)
-    added = tested.where(F.col("step") >= limit).select("__id", "__th", F.lit("random").alias("kind"), "s", "e")
+    # pieces of a run can overlap: those become one
+    by_start = Window.partitionBy("__id", "__th").orderBy("s", "e")
+    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    added = tested.where(F.col("step") >= limit).withColumn("__new", F.when(reach > F.col("s"), 0).otherwise(1))
+    added = added.withColumn("__group", F.sum("__new").over(by_start)).groupBy("__id", "__th", "__group").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    added = added.select("__id", "__th", F.lit("random").alias("kind"), "s", "e")
     both = sure.unionByName(added).groupBy(F.col("__id").alias("__sid"), F.col("__th").alias("__sth"))
     per_doc = sure.groupBy(F.col("__id").alias("__bid"), F.col("__th").alias("__bth")).agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in PATTERNS], joined(sure, ORDER).alias("base_spans")

@@ -145,6 +145,30 @@ def test_randomness_tells_random_from_ordered(spark):
     assert all(p[x] < 0.01 for x in plain)
 
 
+def test_values_glued_to_a_name_are_judged_like_bare_ones(spark):
+    rng = np.random.default_rng(6)
+    values = ["Z9" + "".join(rng.choice(list(secrets.ALPHABETS["base62"][1]), 46)) for _ in range(40)]
+    plain = (900, "漢 /usr/share/doc_files/the-quick_brown/readme-2024/part_1 name=the-quick-brown-fox-jumps-over-2024")
+
+    def found(glue):
+        rows = [(i, f"漢 {glue}{v} end") for i, v in enumerate(values)] + [plain, (None, f"漢 {glue}{values[0]}"), (0, f"漢 {glue}{values[0]} end")]
+        out = secrets.scan_secrets(docs_of(spark, rows)).select("doc_id", F.col("spans").alias("found")).collect()
+        return Counter((r.doc_id, *[int(x) - len(glue) for x in s.split(":")[1:]]) for r in out for s in r.found.split(",") if s.startswith("random"))
+
+    bare = found("")
+    assert len(bare) > 10 and all(x[0] != 900 and x[1:] == (2, 50) for x in bare)
+    assert found("CLIENT_KEY=") == bare
+
+
+def test_pieces_of_runs(spark):
+    b = "Zx81kQp09LmNa7TtUv3W"
+    texts = [f"DB_PASS={b}", f"{b}==", f"={b}={b}==", f"/a_b/{b}", f"/a/{b}_{b}", f"a_b={b}/x-{b}="]
+    want = [[b], [f"{b}=="], [b, f"{b}=="], [b, f"b/{b}"], [f"{b}_{b}", f"/a/{b}", b, b], [b, f"{b}/x", f"x-{b}=", f"{b}="]]
+    runs = spark.createDataFrame([(i, 0, 7, 7 + len(t), t) for i, t in enumerate(texts)], "__id long, __th long, s long, e long, match string")
+    got = Counter((r["__id"], r.match) for r in secrets.candidates(runs).collect() if texts[r["__id"]][r.s - 7 : r.e - 7] == r.match)
+    assert got == Counter((i, m) for i, ms in enumerate(want) for m in ms)
+
+
 def test_thresholds_bound_false_discoveries():
     even = {s: 10 for s in range(100)}
     assert secrets.thresholds({("base64", 0): even}) == {("base64", 0): 1}
