@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from random import Random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,30 +22,48 @@ PATTERNS = {
 }
 _PART = r"(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: Generators of candidates; they overlap each other and the base on purpose. Numbers end in a digit: their bounded loops
-#: give back what stands after it, a space, full stop, bracket or hyphen.
+#: Generators of candidates; they overlap each other and the base on purpose, and each holds the base spans of its sort.
+#: Loops are possessive and open-ended: a number ends in a digit by construction.
 GENERATORS = {
-    "mail": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}+)++",
-    "digits": r"(?<![0-9+])[0-9(][0-9\x20().-]{5,28}(?<=[0-9])",
-    "dotted": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,}+",
-    "colons": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){3,7}+[0-9A-Fa-f]{1,4}+",
-    "plus": r"\+[0-9][\x20().0-9-]{5,28}(?<=[0-9])",
+    "mail": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
+    "digits": r"(?:(?<![0-9(])\()?+(?<![0-9])[0-9](?:[\x20().-]{0,3}+[0-9])++",
+    "dotted": r"(?<![0-9])[0-9]++(?:(?:\.|\[\.\]|\x20?\(dot\)\x20?)[0-9]++){3,}+",
+    "colons": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){3,}+(?<=[0-9A-Fa-f])",
+    "plus": r"\+[0-9](?:[\x20().-]*+[0-9])++",
+    "run": r"(?<![0-9])[0-9]{7,}+",
+    "national": r"(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}+(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])",
 }
 ORDER = ["email", "ip", "card", "phone", "likely"]
 
-#: Words near a candidate that speak for personal data, by the sort of data.
+#: Words before a candidate, by what they speak for; 1 stands for none of them.
 CONTEXT = {
-    1: r"(?i)(?:e-?mail|mailto|contact|write to)\W{0,3}\z",
-    2: r"(?i)(?:phone|tel|call|mobile|fax)\W{0,3}\z",
-    3: r"(?i)(?:card|visa|iban|account|ssn|passport)\W{0,3}\z",
-    4: r"(?i)(?:ip|host|address|server)\W{0,3}\z",
+    0: r"(?i)(?:order|invoice|isbn|issn|version|ver|release|item|sku|part|page|pages|pp|doi|date|ticket|ref|room|build|batch)[.:#]?\x20{0,2}(?:no\.?\x20{0,2}|nr\.?\x20{0,2}|number\x20{0,2}|is\x20{0,2})?\z",
+    2: r"(?i)(?:e-?mail|mailto|contact|write to|reach)\W{0,3}(?:me at\x20|is\x20)?\z",
+    3: r"(?i)(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|ring)\W{0,3}(?:me at\x20|me on\x20|is\x20|us at\x20)?\z",
+    4: r"(?i)(?:card|visa|iban|account|acct|ssn|social security|passport|licen[cs]e|tax id)\W{0,3}(?:no\.?\x20|nr\.?\x20|number\x20)?(?:is\x20)?\z",
+    5: r"(?i)(?:ip|host|address|server|mac|ping|gateway)\W{0,3}(?:is\x20)?\z",
 }
-FEATURES = ("f_generator", "f_digits", "f_letters", "f_groups", "f_luhn", "f_context", "f_before", "f_after", "f_even")
-#: Values of a feature at most; so many vectors there can be that one collected row for each stays small.
-VALUES = {"f_generator": 5, "f_digits": 6, "f_letters": 3, "f_groups": 5, "f_luhn": 2, "f_context": 5, "f_before": 3, "f_after": 3, "f_even": 2}
-ROUNDS, SHRINK = 40, 0.3
-#: Share of base spans that candidates at a score must reach, by generator, for the score to select.
-PRECISION = 0.9
+#: Features, and how many values each has; a vector is one value of each, so there are a bounded number of them.
+VALUES = {"f_generator": len(GENERATORS), "f_digits": 10, "f_letters": 4, "f_groups": 8, "f_first": 6, "f_longest": 8, "f_shape": 6, "f_luhn": 2, "f_octets": 2, "f_context": 6, "f_before": 3, "f_after": 3}
+FEATURES = list(VALUES)
+ROUNDS, SHRINK = 120, 0.3
+#: Share of held-out candidates at a score that must be personal data, by generator, for the score to select.
+PRECISION = 0.98
+#: Example texts that the trees and the thresholds are made from, half each; made here, not taken from the corpus.
+EXAMPLES = 8000
+
+
+def _spans(base: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """find_spans(), where a pattern's own signs stand in the text at all."""
+    text = F.col("__text")
+    base = base.withColumn("__digit", text.rlike("[0-9]"))
+    at, digit = text.contains("@"), F.col("__digit")
+    needs = {
+        "email": at, "mail": at | text.contains("(at)") | text.contains("[at]") | (text.contains(" at ") & text.contains(" dot ")),
+        "plus": text.contains("+"), "phone": text.contains("+"), "colons": text.contains(":"),
+    } | dict.fromkeys(("ip", "card", "digits", "run", "dotted", "national", "iban"), digit)
+    return find_spans(base, kinds, {k: c for k, c in needs.items() if k in kinds})
 
 
 def luhn(digits: Column) -> Column:
@@ -75,28 +94,141 @@ def _features(rows: DataFrame) -> DataFrame:
     digits, match = _digits(F.col("match")), F.col("match")
     rows = rows.withColumn("__d", digits)
     n = F.length("__d")
-    groups = F.size(F.filter(F.split(match, r"[^0-9A-Za-z]+"), lambda g: g != ""))
-    context = F.lit(0)
+    rows = rows.withColumn("__g", F.transform(F.filter(F.split(match, r"[^0-9A-Za-z]+"), lambda g: g != ""), lambda g: F.length(g)))
+    context = F.lit(1)
     for k, p in CONTEXT.items():
         context = F.when(F.col("before").rlike(p), F.lit(k)).otherwise(context)
+    shape = F.when(~match.rlike(r"[^0-9A-Za-z]"), 0).when(match.rlike(r"[()\[\]]"), 4)
+    for k, sign in ((1, r"\x20"), (2, "-"), (3, r"\.")):
+        shape = shape.when(~match.rlike(rf"[^0-9A-Za-z{sign}]"), k)
 
     def edge(c: Column) -> Column:
-        return F.when(c == "", 0).when(c.rlike(r"^[\s\p{Punct}]$"), 1).otherwise(2)
+        return F.when(c.rlike(r"^[0-9A-Za-z]$"), 2).when(c.rlike(r"^[!-/:-@\[-`{-~]$"), 1).otherwise(0)
 
     new = {
         "f_generator": F.array_position(F.array(*[F.lit(g) for g in GENERATORS]), F.col("kind")) - 1,
-        "f_digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n < 12, 3).when(n < 16, 4).otherwise(5),
-        "f_letters": F.when(~match.rlike("[A-Za-z]"), 0).when(match.rlike(r"^[A-Za-z0-9._%+-]+@"), 1).otherwise(2),
-        "f_groups": F.least(groups, F.lit(4)),
+        "f_digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 12, n - 5).when(n < 16, 7).when(n < 20, 8).otherwise(9),
+        "f_letters": F.when(~match.rlike("[A-Za-z]"), 0).when(match.rlike("@"), 1).when(match.rlike(r"[(\[]|\x20(?:at|dot)\x20"), 2).otherwise(3),
+        "f_groups": F.least(F.size("__g"), F.lit(7)),
+        "f_first": F.least(F.coalesce(F.get("__g", F.lit(0)), F.lit(0)), F.lit(5)),
+        "f_longest": F.least(F.coalesce(F.array_max("__g"), F.lit(0)), F.lit(7)),
+        "f_shape": shape.otherwise(5),
         "f_luhn": F.when(n.between(12, 19) & luhn(F.col("__d")), 1).otherwise(0),
+        "f_octets": F.when(F.regexp_replace(match, r"\[\.\]|\x20?\(dot\)\x20?", ".").rlike(VALID_IP), 1).otherwise(0),
         "f_context": context,
         "f_before": edge(F.right("before", F.lit(1))),
         "f_after": edge(F.left("after", F.lit(1))),
-        "f_even": F.when(F.regexp_count(match, F.lit(r"[\x20().-]")) > 0, 1).otherwise(0),
     }
     return rows.select("__id", "__th", "kind", "s", "e", *[c.cast("int").alias(k) for k, c in new.items()])
 
 
+def _example(r: Random) -> tuple[str, int, int, bool]:
+    """A text, the place of what stands in it, and whether that is personal data; formats and look-alikes by turns."""
+
+    def d(n: int) -> str:
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    def nz(n: int) -> str:
+        return r.choice("123456789") + d(n - 1)
+
+    def word() -> str:
+        return "".join(r.choice(("ba", "de", "fi", "go", "ku", "la", "me", "no", "pi", "ra", "su", "ti", "ve", "xo", "za")) for _ in range(r.randint(1, 4)))
+
+    def number(n: int, valid: bool) -> str:
+        x = nz(n - 1)
+        total = sum(v if i % 2 else 2 * v - 9 * (v > 4) for i, v in enumerate(int(c) for c in reversed(x)))
+        return x + str((-total + (0 if valid else r.randint(1, 9))) % 10)
+
+    def by(sign: str, *sizes: int) -> str:
+        return sign.join(d(n) for n in sizes)
+
+    def cut(x: str, sign: str, n: int = 4) -> str:
+        return sign.join(x[i : i + n] for i in range(0, len(x), n))
+
+    def pick(*options: str) -> str:
+        return r.choice(options)
+
+    mail, phone = ("mail", "email:", "contact", "write to"), ("phone", "call", "tel.", "mobile:", "fax")
+    paper, net = ("account", "ssn", "passport no.", "card", "iban:"), ("ip", "host", "server", "address:")
+    dull = ("order", "invoice no.", "isbn", "version", "page", "ticket", "item", "ref.", "date:")
+    none = ("",)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    octets = [str(r.randint(0, r.choice((9, 99, 255)))) for _ in range(4)]
+    forms = [  # (personal, words that stand before it, the thing)
+        (True, mail + none * 4, word() + pick("", ".", "_") + word() + pick("@", " @ ", "(at)", " (at) ", "[at]", " [at] ") + word() + pick(".", "(dot)", " (dot) ", "[dot]", " [dot] ") + pick("com", "org", "de", "io")),
+        (True, mail + none * 4, word() + " at " + word() + " dot " + pick("com", "org", "net")),
+        (True, phone + none * 5, pick(f"({d(3)}) {by('-', 3, 4)}", by("-", 3, 3, 4), by(".", 3, 3, 4), by(" ", 3, 3, 4), f"({d(3)}) {by(' ', 3, 4)}")),
+        (True, phone + none * 4, "0" + pick(by(" ", 2, 7), by(" ", 3, 3, 4), by("-", 3, 7), by(" ", 2, 3, 2, 2), by(" ", 1, 2, 2, 2, 2))),
+        (True, phone, pick(d(7), d(10), by("-", 3, 4), by(" ", 3, 4), by(" ", 2, 2, 2, 2), "+" + nz(7), "+" + nz(8))),
+        (True, paper + none * 5, by("-", 3, 2, 4)),
+        (True, paper, pick(d(8), d(9), d(10), d(12), cut(number(16, False), pick("", " ", "-", ".")))),
+        (True, paper + none * 3, cut(number(16, True), pick(".", "  ", " - "))),
+        (True, paper + none * 6, number(16, True)),
+        (True, paper + none * 3, pick("DE", "FR", "ES", "GB") + pick(d(18), d(20), d(2) + " " + cut(d(16), " "), d(2) + " " + cut(d(18), " "))),
+        (True, net + none * 4, pick("[.]", " (dot) ", "(dot)").join(octets)),
+        (True, net + none * 4, pick(":".join(hexa(4) for _ in range(8)), hexa(4) + ":" + hexa(3) + "::" + hexa(4) + ":" + hexa(2), ":".join(hexa(2) for _ in range(6)))),
+        (False, none * 3 + dull, pick(f"{r.randint(1900, 2030)}-{by('-', 2, 2)}", f"{by('.', 2, 2)}.{r.randint(1900, 2030)}", f"{r.randint(1900, 2030)} {r.randint(1900, 2030)}", f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}")),
+        (False, none, f"{r.randint(1900, 2030)}-{by('-', 2, 2)} {by(':', 2, 2)}"),
+        (False, none + dull, pick(by(":", 2, 2, 2, 2), by(":", 1, 2, 2, 3), word() + "::" + word() + "::" + word())),
+        (False, none * 3 + dull, ".".join(str(r.randint(0, 2000)) for _ in range(r.randint(5, 7)))),
+        (False, none + dull, ".".join([str(r.randint(1, 20)), str(r.randint(0, 20)), str(r.randint(0, 20)), str(r.randint(256, 30000))])),
+        (False, none * 6 + dull, pick(nz(7), nz(8), nz(9), nz(10), nz(11), nz(13), number(16, False), number(16, False), nz(20), nz(24), nz(40))),
+        (False, dull, pick(nz(8), nz(10), by("-", 3, 4), by("-", 3, 3, 4), by("-", 3, 2, 4), by("-", 3, 1, 2, 6, 1), cut(number(16, False), "-"))),
+        (False, none + dull, d(1) + "." + d(r.randint(6, 16))),
+        (False, none * 3 + dull, " ".join(d(r.randint(1, 6)) for _ in range(r.randint(6, 12)))),
+        (False, none + dull, cut(nz(9), pick(" ", "."), 3)),
+        (False, none, f"{r.randint(1, 99)} {pick('@', '@ ')}{r.randint(1, 99)}.{d(2)}"),
+        (False, none, pick(word(), hexa(3) + "x") + nz(r.randint(7, 14)) + pick(word(), "x" + hexa(4))),
+        (False, none, "+" + pick(by(" ", 1, 1), by(".", 1, 2), by(" - ", 2, 2), by(" ", 2, 2, 2))),
+    ]
+    personal, cues, thing = r.choice(forms)
+    cue = r.choice(cues)
+    before = " ".join(word() for _ in range(r.randint(0, 4))) + r.choice(("", " ", ", ", ". ", " (", "\n")) * (r.random() < 0.3)
+    before = " ".join(filter(None, (before.rstrip(" ") if cue else before, cue)))
+    before = before + " " if before and before[-1] not in " (\n" else before
+    after = r.choice(("", ".", ",", ")", " ", ". ", "\n")) + " " + " ".join(word() for _ in range(r.randint(0, 4)))
+    glued = thing[0].isalpha() and thing[-1].isalnum() and any(c.isdigit() for c in thing) and not personal
+    start = len(before)
+    return before + thing + (after if not glued else " " + after), start, start + len(thing), personal
+
+
+def examples(n: int, seed: int = 5) -> list[tuple[str, int, int, bool]]:
+    """n example texts: (text, start, end, whether what stands there is personal data)."""
+    r = Random(seed)
+    return [_example(r) for _ in range(n)]
+
+
+def _table(rows: list[tuple[tuple[int, ...], bool]]) -> list[tuple[tuple[int, ...], int, int]]:
+    counts: dict[tuple[int, ...], list[int]] = {}
+    for x, personal in rows:
+        counts.setdefault(x, [0, 0])[not personal] += 1
+    return [(x, p, n) for x, (p, n) in sorted(counts.items())]
+
+
+_models: dict[tuple[int, int], tuple[list[tuple[int, int, int, int, list[float]]], dict[int, float]]] = {}
+
+
+def trained(spark: SparkSession, n: int = EXAMPLES, seed: int = 5) -> tuple[list[tuple[int, int, int, int, list[float]]], dict[int, float]]:
+    """Trees, and each generator's threshold: fitted to one half of n examples and calibrated on the other.
+
+    Examples go through the generators and features that documents go through. A candidate is personal data if an example's
+    personal data and it are mostly the same stretch.
+    """
+    if (n, seed) not in _models:
+        made = examples(n, seed)
+        texts = spark.range(1).select(F.posexplode(F.split(F.lit("\x1e".join(t for t, *_ in made)), "\x1e")).alias("__id", "__text"))
+        found = _features(_spans(texts.withColumn("__th", F.lit(0)), GENERATORS))
+        halves: list[list[tuple[tuple[int, ...], bool]]] = [[], []]
+        for c in found.select("__id", "s", "e", *FEATURES).collect():  # a few candidates for each example
+            _, s, e, personal = made[c["__id"]]
+            same = min(e, c.e) - max(s, c.s)
+            halves[c["__id"] % 2].append((tuple(c[f] for f in FEATURES), personal and same >= 0.8 * (e - s) and same >= 0.7 * (c.e - c.s)))
+        trees = boost(_table(halves[0]))
+        held = _table(halves[1])
+        _models[(n, seed)] = trees, calibrate(held, [score_of(trees, x) for x, _, _ in held])
+    return _models[(n, seed)]
+
+
 def boost(table: list[tuple[tuple[int, ...], int, int]]) -> list[tuple[int, int, int, int, list[float]]]:
     """Gradient-boosted trees of two splits from (vector, positives, negatives); logistic loss, Newton leaves.
 
@@ -147,7 +279,7 @@ def _score(trees: list[tuple[int, int, int, int, list[float]]]) -> Column:
 
 
 def calibrate(table: list[tuple[tuple[int, ...], int, int]], scores: list[float]) -> dict[int, float]:
-    """For each generator the lowest score from which on PRECISION of its candidates are base spans; none without."""
+    """For each generator the lowest score from which on PRECISION of its candidates are personal data; none without."""
     out: dict[int, float] = {}
     for g in {x[0] for x, _, _ in table}:
         pos = total = 0
@@ -162,18 +294,19 @@ def calibrate(table: list[tuple[tuple[int, ...], int, int]], scores: list[float]
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data in every whole text: e-mail, IP address, payment card, phone, and likely ones.
 
-    The base spans are the matches of PATTERNS that pass their checks. Generators propose overlapping candidates; binned
-    features of format and context give each a vector. All candidates are counted by vector and by whether a base span
-    is among what they cover; boosted trees fit those counts (a row for each vector: bounded by the bins), thresholds by
-    generator are calibrated on them, and the trees score candidates as SQL. Those selected that overlap no base span are
-    merged where they overlap, and added as "likely". SQL functions only; only matches are shuffled.
+    The base spans are the matches of PATTERNS that pass their checks. Generators propose overlapping candidates, among
+    them look-alikes, spelled-out and national forms; binned features of format and context give each a vector. Boosted
+    trees score it. There are no labels of personal data, so trees are fitted to examples made from known formats and
+    look-alikes (trained(): a fixed number), and each generator's threshold is calibrated on examples held out. Those selected
+    that overlap no base span are merged where they overlap, and added as "likely". SQL functions only; only matches are
+    shuffled.
 
-    Returns the columns of docs, and n_email, n_ip, n_card, n_phone (long), base_spans and spans (strings of
+    Returns the columns of docs, and n_email, n_ip, n_card, n_phone, n_likely (long), base_spans and spans (strings of
     kind:start:end, code points, by start and kind); columns of these names are replaced. A null text is empty and has no
     spans. Repeated rows get the same spans each; null ids are served like others. An empty table gives an empty one.
     """
     base = packed(docs, id_col, text_col)
-    rows = written(find_spans(base, PATTERNS | GENERATORS), "personal-spans")
+    rows = written(_spans(base, PATTERNS | GENERATORS), "personal-spans")
     sure = _valid(rows.where(F.col("kind").isin(*PATTERNS)))
     candidates = _features(rows.where(F.col("kind").isin(*GENERATORS)))
     # both kinds of rows of a document in one order of starts: the furthest end of base spans so far, and the next start
@@ -184,15 +317,11 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marks = marks.withColumn("__end", F.max(F.when(F.col("kind") == "base", F.col("e"))).over(upto))
     marks = marks.withColumn("__next", F.min(F.when(F.col("kind") == "base", F.col("s"))).over(after))
     covers = F.coalesce(F.col("__end") > F.col("s"), F.lit(False)) | F.coalesce(F.col("__next") < F.col("e"), F.lit(False))
-    marked = written(marks.where("kind <> 'base'").withColumn("covers", covers).drop("__end", "__next"), "personal-candidates")
-    counted = marked.groupBy(*FEATURES).agg(F.count_if("covers").alias("pos"), F.count_if(~F.col("covers")).alias("neg")).orderBy(*FEATURES).collect()
-    table = [(tuple(r[f] for f in FEATURES), r.pos, r.neg) for r in counted]
-    trees = boost(table)
-    limits = calibrate(table, [score_of(trees, x) for x, _, _ in table])
+    trees, limits = trained(docs.sparkSession)
     limit = F.lit(float("inf"))
     for g, z in limits.items():
         limit = F.when(F.col("f_generator") == g, F.lit(z - 1e-9)).otherwise(limit)
-    chosen = marked.where(~F.col("covers")).where(_score(trees) >= limit).select("__id", "__th", "s", "e")
+    chosen = marks.where("kind <> 'base'").where(~covers).where(_score(trees) >= limit).select("__id", "__th", "s", "e")
     # overlapping ones become one: a span starts where nothing before it reaches
     by_start = Window.partitionBy("__id", "__th").orderBy("s", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -204,15 +333,18 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rank = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind"))
     text = F.struct("s", rank.alias("k"), "e", F.concat_ws(":", "kind", "s", "e").alias("t"))
     per_doc = both.agg(
-        *[F.count_if(F.col("kind") == k).alias(f"__n_{k}") for k in PATTERNS],
+        *[F.count_if(F.col("kind") == k).alias(f"__n_{k}") for k in (*PATTERNS, "likely")],
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_base, text))), lambda x: x["t"]), ",").alias("__base"),
         joined(sure, ORDER).alias("__all"),
     )
     out = base.join(per_doc, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__th") == F.col("__sth")), "left")
-    new = {f"n_{k}": F.coalesce(F.col(f"__n_{k}"), F.lit(0)).cast("long") for k in PATTERNS}
+    new = {f"n_{k}": F.coalesce(F.col(f"__n_{k}"), F.lit(0)).cast("long") for k in (*PATTERNS, "likely")}
     return overlay(out, "__row", new | {"base_spans": F.coalesce("__base", F.lit("")), "spans": F.coalesce("__all", F.lit(""))})
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
+    counts = ("n_email", "n_ip", "n_card", "n_phone", "n_likely")
+    return out.select(
+        "doc_id", *counts, sum(F.col(c) for c in counts).alias("n_personal"), F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans"
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def find_spans(base: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def find_spans(base: DataFrame, kinds: dict[str, str], needs: dict[str, Column] | None = None) -> DataFrame:
     """Leftmost non-overlapping matches of each kind's pattern in the whole of __text.
 
     Patterns match at least one character and have no group that could change the match. What split() leaves between the
@@ -16,38 +16,37 @@ def find_spans(base: DataFrame, kinds: dict[str, str]) -> DataFrame:
     exclusive), match, and before and after: what stands up to the match before and the next one, 32 code points at most.
     """
     none = F.array().cast("array<string>")
-    found = base.select("__id", "__th", "__text", *[F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias(f"__m_{k}") for k, p in kinds.items()])
+    needs = needs or {}
+    found = {k: F.regexp_extract_all("__text", F.lit(p), F.lit(0)) for k, p in kinds.items()}
+    asked = base.select("__id", "__th", "__text", *[c.alias(f"__n_{k}") for k, c in needs.items()])
+    found = asked.select("__id", "__th", "__text", *[(F.when(F.col(f"__n_{k}"), c).otherwise(none) if k in needs else c).alias(f"__m_{k}") for k, c in found.items()])
     found = found.where(reduce(lambda a, b: a | b, [F.size(f"__m_{k}") > 0 for k in kinds]))
+    gaps = {k: F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none) for k, p in kinds.items()}
+    found = found.select("__id", "__th", *[f"__m_{k}" for k in kinds], *[g.alias(f"__g_{k}") for k, g in gaps.items()])
     cut = [
         F.transform(
-            F.arrays_zip(
-                F.col(f"__m_{k}").alias("m"),
-                F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none).alias("g"),
-            ),
-            _row(k, f"__m_{k}"),
+            F.arrays_zip(F.col(f"__m_{k}").alias("m"), F.slice(f"__g_{k}", 1, F.size(f"__m_{k}")).alias("g"), F.slice(f"__g_{k}", 2, F.size(f"__m_{k}")).alias("h")),
+            _row(k),
         )
-        for k, p in kinds.items()
+        for k in kinds
     ]
-    rows = found.select("__id", "__th", F.explode(F.flatten(F.array(*[F.filter(c, lambda x: x["match"].isNotNull()) for c in cut]))).alias("x"))
+    rows = found.select("__id", "__th", F.explode(F.flatten(F.array(*cut))).alias("x"))
     # rows of equal id and text have equal matches; one set of them is enough
     rows = rows.select("__id", "__th", "x.*").dropDuplicates(["__id", "__th", "kind", "i"])
     w = Window.partitionBy("__id", "__th", "kind").orderBy("i")
-    rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("match")).over(w)).withColumn("after", F.coalesce(F.lead("before_next").over(w), F.col("after_last")))
+    rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("match")).over(w))
     return rows.select("__id", "__th", "kind", (F.col("e") - F.length("match")).cast("long").alias("s"), F.col("e").cast("long").alias("e"), "match", "before", "after")
 
 
-def _row(kind: str, matches: str):
+def _row(kind: str):
     def row(x: Column, i: Column) -> Column:
-        last = i == F.size(matches) - 1
         return F.struct(
             F.lit(kind).alias("kind"),
             i.alias("i"),
             F.length(x["g"]).alias("gap"),
             x["m"].alias("match"),
             F.right(x["g"], F.lit(32)).alias("before"),
-            F.left(x["g"], F.lit(32)).alias("before_next"),
-            # after the last match stands the piece that no match follows
-            F.when(last, F.lit("")).alias("after_last"),
+            F.left(x["h"], F.lit(32)).alias("after"),
         )
 
     return row
