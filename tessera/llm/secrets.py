@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from random import Random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,20 +23,25 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}+"
 VALUE = {"value": r"[^=]{20,}+(?:=++\z)?"}
 PARTS = {"url": r"[^/+]{20,}+", "std": r"[^_-]{20,}+", "word": r"[^/+_-]{20,}+"}
 ORDER = ["assign", "access", "hex", "random"]
+#: What ordinary runs are put together from.
+SYLLABLES = ("the", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce", "ung", "ver", "sch", "ion", "que")
 
 #: Encodings, from the narrowest, with their alphabets; a run belongs to the first that holds it.
 ALPHABETS = {
+    "digits": ("^[0-9]+$", "0123456789"),
     "upper_hex": ("^[0-9A-F]+$", "0123456789ABCDEF"),
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base26": ("^(?:[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
     "base36": ("^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    "base52": ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base64": ("^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     "base64url": ("^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 }
 #: Lengths are compared within bands that start here.
 BANDS = (20, 28, 40, 64, 128)
-#: The share of false discoveries that a band may hold, and the steps of its threshold.
-FALSE_SHARE, STEPS = 0.1, 100
+#: The share of false discoveries that a group may hold, the steps of its threshold, and the ordinary runs it is set by.
+FALSE_SHARE, STEPS, ORDINARY = 0.1, 100, 400
 
 
 def _normal_cdf(z: Column) -> Column:
@@ -58,7 +64,7 @@ def randomness(tokens: DataFrame) -> DataFrame:
         encoding = F.when(hit, F.lit(name)) if encoding is None else encoding.when(hit, F.lit(name))
         alphabet = F.when(hit, F.lit(symbols)) if alphabet is None else alphabet.when(hit, F.lit(symbols))
     rows = tokens.withColumn("encoding", encoding).withColumn("__abc", alphabet).where("encoding IS NOT NULL")
-    body = F.when(F.col("encoding") == "base36", F.lower("match")).otherwise(F.col("match"))
+    body = F.when(F.col("encoding").isin("base26", "base36"), F.lower("match")).otherwise(F.col("match"))
     rows = rows.withColumn("__c", F.filter(F.split(F.rtrim(body, F.lit("=")), ""), lambda c: c != ""))
     rows = rows.withColumn("__v", F.expr("transform(__c, c -> locate(c, __abc) - 1)")).withColumn("__n", F.size("__v").cast("double"))
     rows = rows.withColumn("__a", F.length("__abc").cast("double"))
@@ -121,19 +127,71 @@ def candidates(runs: DataFrame) -> DataFrame:
     return runs.where(held).unionByName(values.where(held)).unionByName(parts)
 
 
-def thresholds(counts: dict[tuple[str, int], dict[int, int]]) -> dict[tuple[str, int], int]:
+def ordinary(encoding: str, length: int, r: Random) -> str:
+    """A run of an encoding's signs that nobody drew at random: words, names, paths, dates, counters put together."""
+
+    def word() -> str:
+        return "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3)))
+
+    def number() -> str:
+        return r.choice((str(r.randint(0, 99)), f"{r.randint(1990, 2030)}", f"{r.randint(1990, 2030)}{r.randint(1, 12):02}{r.randint(1, 28):02}", f"{r.randint(0, 9999):06}", r.choice("0123456789") * r.randint(2, 6)))
+
+    def part() -> str:
+        if encoding == "digits":
+            return number()
+        if encoding == "upper_hex":
+            return r.choice((number(), "0" * r.randint(2, 8), r.choice(("dead", "beef", "cafe", "face", "feed", "c0de", "ff" * r.randint(1, 4), "a0", "7f"))))
+        if encoding == "base26":
+            return word()
+        if encoding == "base52":
+            return word().capitalize()
+        if encoding in ("base32", "base36"):
+            return word() if r.random() < 0.7 else str(r.randint(2, 7)) * r.randint(1, 4)
+        if encoding == "base62":
+            return word().capitalize() if r.random() < 0.7 else number()
+        sign = "/" if encoding == "base64" else r.choice("-_")
+        return sign + (r.choice((word(), word().capitalize())) if r.random() < 0.75 else number())
+
+    out = part()
+    while len(out) < length:
+        out += part()
+    out = out[:length].lstrip("/-_").ljust(length, "a" if encoding not in ("digits", "upper_hex") else "0")
+    return out.upper() if encoding in ("upper_hex", "base32") else out
+
+
+_null: dict[tuple[str, int], list[int]] = {}
+
+
+def ordinary_steps(spark: SparkSession) -> dict[tuple[str, int], list[int]]:
+    """How many of the ordinary runs of an encoding and length band reach each step of p, or more."""
+    if not _null:
+        r = Random(3)
+        made = [(k, e, ordinary(e, r.randint(BANDS[k], 2 * BANDS[k] if k + 1 == len(BANDS) else BANDS[k + 1] - 1), r)) for k in range(len(BANDS)) for e in ALPHABETS for _ in range(ORDINARY)]
+        texts = spark.range(1).select(F.posexplode(F.split(F.lit(" ".join(t for *_, t in made)), " ")).alias("at", "match"))
+        step = F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")
+        steps: dict[tuple[str, int], list[int]] = {(e, k): [] for e in ALPHABETS for k in range(len(BANDS))}
+        for row in randomness(texts).select("at", step).collect():  # as many rows as there are ordinary runs
+            k, e, _ = made[row["at"]]  # judged with those it was made like, be its alphabet narrower by chance
+            steps[e, k].append(row.step)
+        _null.update({g: [sum(x >= s for x in found) for s in range(STEPS)] for g, found in steps.items()})
+    return _null
+
+
+def thresholds(counts: dict[tuple[str, int], dict[int, int]], null: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], int]:
     """The lowest step of p from which on a group's tokens are taken for random, by encoding and band.
 
-    p is uniform for random tokens, so those above one half tell how many random ones there are at all; what a threshold
-    takes beyond their share is false. Of the steps with at most FALSE_SHARE of such, the lowest. At least one token of
-    a group is held for random, so a lone token is taken if its p is 0.1 or more.
+    A token's chance of being ordinary all the same is the share of ordinary runs of its encoding and length that reach
+    its step (with one more on their side, as for any rank test). Of a group's tokens so large a share is expected to be
+    taken by mistake; the lowest step goes at which that is FALSE_SHARE of those taken, at most (Benjamini and
+    Hochberg). This holds for a group of one as for any other: it is taken if fewer than a tenth of ordinary runs look
+    as random. The tests need not be independent, as nothing but the ordinary runs' own p is used.
     """
     out = {}
     for group, by_step in counts.items():
-        random = max(1, 2 * sum(n for s, n in by_step.items() if s >= STEPS // 2))
-        for step in range(1, STEPS // 2 + 1):
+        reach, total = null[group], sum(by_step.values())
+        for step in range(1, STEPS):
             taken = sum(n for s, n in by_step.items() if s >= step)
-            if taken and max(0.0, taken - random * (1 - step / STEPS)) <= FALSE_SHARE * taken:
+            if taken and total * (reach[step] + 1) / (reach[0] + 1) <= FALSE_SHARE * taken:
                 out[group] = step
                 break
     return out
@@ -142,11 +200,12 @@ def thresholds(counts: dict[tuple[str, int], dict[int, int]]) -> dict[tuple[str,
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets in every whole text: assignments, access keys, hexadecimal runs, and random-looking runs.
 
-    The base spans are the matches of PATTERNS that are long enough. Other runs of 20 characters or more that mix digits
-    and letters go through randomness(), in pieces where no alphabet holds them (candidates()); the p of all of them,
+    The base spans are the matches of PATTERNS that are long enough. Other runs of 20 characters or more, be they letters,
+    digits or both, go through randomness(), in pieces where no alphabet holds them (candidates()); the p of all of them,
     counted by encoding, length band and step, set a threshold for each group (thresholds()), so that short runs, which
-    tests tell apart less well, answer for themselves. Pieces found random that overlap are one span. SQL functions
-    only; matches are few against the text, and only they are shuffled.
+    tests tell apart less well, answer for themselves. Those that lie in a base span are found already and don't count.
+    Pieces found random that overlap are one span. SQL functions only; matches are few against the text, and only they
+    are shuffled.
 
     Returns the columns of docs, and n_assign, n_access, n_hex (long), base_spans and spans (strings of kind:start:end,
     code points, by start and kind); columns of these names are replaced. A null text is empty and has no spans. Repeated
@@ -161,17 +220,20 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .otherwise(F.col("kind") == "hex")
     )
     sure = rows.where(long_enough).select("__id", "__th", "kind", "s", "e")
-    mixed = F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]") & ~F.col("match").rlike("^[0-9a-f]+$")
     band = F.lit(0)
     for k in BANDS[1:]:
         band = band + F.when(F.col("e") - F.col("s") >= k, 1).otherwise(0)
-    tested = randomness(candidates(rows.where(F.col("kind") == "run")).where(mixed)).withColumn("band", band)
+    pieces = candidates(rows.where(F.col("kind") == "run")).unionByName(sure.select("__id", "__th", "s", "e", F.lit(None).cast("string").alias("match")))
+    # the furthest end of base spans that start no later: what ends there or before lies in one
+    base_end = F.max(F.when(F.col("match").isNull(), F.col("e"))).over(Window.partitionBy("__id", "__th").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    pieces = pieces.withColumn("__in", F.coalesce(base_end >= F.col("e"), F.lit(False))).where("match IS NOT NULL AND NOT __in").drop("__in")
+    tested = randomness(pieces).withColumn("band", band)
     tested = written(tested.withColumn("step", F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")).withColumn("token", F.xxhash64("match")).drop("match"), "secret-tests")
     counts: dict[tuple[str, int], dict[int, int]] = {}
     for r in tested.groupBy("encoding", "band", "step").agg(F.count_distinct("token").alias("n")).collect():  # encodings x bands x steps
         counts.setdefault((r.encoding, r.band), {})[r.step] = r.n
     limit = F.lit(STEPS)
-    for (encoding, k), step in thresholds(counts).items():
+    for (encoding, k), step in thresholds(counts, ordinary_steps(docs.sparkSession)).items():
         limit = F.when((F.col("encoding") == encoding) & (F.col("band") == k), F.lit(step)).otherwise(limit)
     # pieces of a run can overlap: those become one
     by_start = Window.partitionBy("__id", "__th").orderBy("s", "e")

@@ -1,6 +1,8 @@
 """Operators on single documents against brute force: line dedup, decontamination, secrets, personal data, packing, quality."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -139,10 +141,10 @@ def test_secrets(spark):
 def test_randomness_tells_random_from_ordered(spark):
     rng = np.random.default_rng(5)
     abc = secrets.ALPHABETS["base64"][1]
-    random = ["".join(rng.choice(list(abc), n)) for n in (24, 40, 100) for _ in range(60)]
+    drawn = ["".join(rng.choice(list(abc), n)) for n in (24, 40, 100) for _ in range(60)]
     plain = ["the-quick-brown-fox-jumps-over-2024", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAA1a", "abcdefghijklmnopqrstuvwxyz0123456789"]
-    p = {r.match: r.p for r in secrets.randomness(spark.createDataFrame([(x,) for x in random + plain], "match string")).collect()}
-    assert 0.4 < np.mean([p[x] for x in random]) < 0.65 and np.mean([p[x] > 0.05 for x in random]) > 0.85
+    p = {r.match: r.p for r in secrets.randomness(spark.createDataFrame([(x,) for x in drawn + plain], "match string")).collect()}
+    assert 0.4 < np.mean([p[x] for x in drawn]) < 0.65 and np.mean([p[x] > 0.05 for x in drawn]) > 0.85
     assert all(p[x] < 0.01 for x in plain)
 
 
@@ -171,12 +173,109 @@ def test_pieces_of_runs(spark):
 
 
 def test_thresholds_bound_false_discoveries():
-    even = {s: 10 for s in range(100)}
-    assert secrets.thresholds({("base64", 0): even}) == {("base64", 0): 1}
-    mixed = even | {0: 2000, 1: 300, 2: 100}
-    step = secrets.thresholds({("base64", 0): mixed})[("base64", 0)]
-    assert 2 <= step <= 4
-    assert secrets.thresholds({("base64", 0): {0: 500}}) == {}
+    # of 100 ordinary runs, 1 in 2 reaches step 1, 1 in 10 step 10, none step 50
+    reach = [100] + [50] * 9 + [9] * 40 + [0] * 50
+    null = {("base64", 0): reach, ("digits", 1): reach}
+    assert secrets.thresholds({("base64", 0): {30: 1}}, null) == {("base64", 0): 10}  # a lone token that few ordinary ones equal
+    assert secrets.thresholds({("base64", 0): {5: 1}}, null) == {}
+    # of 1,000 tokens some ten reach step 50 by mistake; 900 ordinary ones at step 20 mean none of that step is believed
+    assert secrets.thresholds({("digits", 1): {0: 700, 20: 30, 80: 270}}, null) == {("digits", 1): 50}
+    assert secrets.thresholds({("digits", 1): {0: 995, 80: 5}}, null) == {}
+
+
+def battery(x, alphabets):
+    """Encoding and p of a token by plain means; None if no alphabet holds it."""
+    encoding = next((e for e, (p, _) in alphabets.items() if re.fullmatch(p.strip("^$"), x)), None)
+    if encoding is None:
+        return None
+    abc = alphabets[encoding][1]
+    v = [abc.index(c) for c in (x.lower() if encoding in ("base26", "base36") else x).rstrip("=")]
+    n, a = len(v), len(abc)
+    cdf = lambda z: 1 / (1 + math.exp(-1.5976 * z - 0.070565992 * z**3)) if -1.5976 * z - 0.070565992 * z**3 < 700 else 0.0
+    z1 = (a / n * sum(c * c for c in Counter(v).values()) - n - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
+    half = [2 * k >= a for k in v]
+    runs, n1 = 1 + sum(p != q for p, q in zip(half, half[1:], strict=False)), sum(half)
+    product = 2 * n1 * (n - n1)
+    var = product * (product - n) / (n * n * (n - 1))
+    z2 = (runs - product / n - 1) / math.sqrt(var) if var > 0 else 9.0
+    m = sum(v) / n
+    q = sum((k - m) ** 2 for k in v)
+    z3 = (sum((p - m) * (r - m) for p, r in zip(v, v[1:], strict=False)) / q + 1 / (n - 1)) * math.sqrt(n) if q > 0 else 9.0
+    x2 = -sum(math.log(max(p, 1e-300)) for p in (1 - cdf(z1), 2 * cdf(-abs(z2)), 2 * cdf(-abs(z3))))
+    return encoding, math.exp(-x2) * (1 + x2 + x2 * x2 / 2)
+
+
+def runs_of(text):
+    """(start, end) of what is tested of the runs of a text."""
+    held = lambda x: any(re.fullmatch(p.strip("^$"), x) for p, _ in secrets.ALPHABETS.values())
+    out = set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if held(m[0]):
+            out.add(m.span())
+            continue
+        for v in re.finditer(r"[^=]{20,}(?:=+\Z)?", m[0]):
+            if held(v[0]):
+                out.add((m.start() + v.start(), m.start() + v.end()))
+                continue
+            for p in ("[^/+]{20,}", "[^_-]{20,}", "[^/+_-]{20,}"):
+                out |= {(m.start() + v.start() + w.start(), m.start() + v.start() + w.end()) for w in re.finditer(p, v[0])}
+    return out
+
+
+def test_random_spans_against_plain_tests_and_planted_tokens(spark):
+    rng, r, rows, planted = np.random.default_rng(9), random.Random(4), [], {}
+    for encoding, (_, abc) in secrets.ALPHABETS.items():
+        for n in (20, 24, 30, 45, 70, 140):
+            for k in range(6):
+                token = "".join(rng.choice(list(abc), n))
+                planted[len(rows)] = (encoding, token)
+                rows.append((len(rows), f"漢 see {'KEY=' * (k % 2)}{token} there"))
+            rows += [(len(rows) + k, f"and {secrets.ordinary(encoding, n, r)} so") for k in range(3)]
+    rows += [(5000, "Donaudampfschifffahrtsgesellschaft /usr/share/doc_files/the-quick_brown/readme-2024/part_1"), (5001, None), (None, rows[0][1]), (0, rows[0][1])] + SECRETS
+    got = Counter((x.doc_id, x.found) for x in secrets.scan_secrets(docs_of(spark, rows)).select("doc_id", F.col("spans").alias("found")).collect())
+    null, r = {}, random.Random(3)
+    band = lambda n: sum(n >= k for k in secrets.BANDS[1:])
+    for k, low in enumerate(secrets.BANDS):
+        high = secrets.BANDS[k + 1] - 1 if k + 1 < len(secrets.BANDS) else 2 * low
+        for e in secrets.ALPHABETS:
+            for _ in range(secrets.ORDINARY):
+                found = battery(secrets.ordinary(e, r.randint(low, high), r), secrets.ALPHABETS)
+                if found:
+                    null.setdefault((e, k), []).append(min(int(found[1] * 100), 99))
+    tested, tokens = [], {}
+    for at, (_, t) in enumerate(rows):
+        base = secret_spans(t)
+        for s, e in runs_of(t or ""):
+            found = battery(t[s:e], secrets.ALPHABETS)
+            if found and not any(a <= s and e <= b for _, a, b in base):
+                group, step = (found[0], band(e - s)), min(int(found[1] * 100), 99)
+                tested.append((at, s, e, group, step))
+                tokens.setdefault(group, {})[t[s:e]] = step
+    limit = {}
+    for group, steps in tokens.items():
+        for step in range(1, 100):
+            taken = sum(x >= step for x in steps.values())
+            if taken and len(steps) * (1 + sum(x >= step for x in null[group])) / (1 + len(null[group])) <= 0.1 * taken:
+                limit[group] = step
+                break
+    want, hits = Counter(), Counter()
+    for at, (i, t) in enumerate(rows):
+        merged = []
+        for s, e in sorted((s, e) for k, s, e, g, step in tested if k == at and step >= limit.get(g, 100)):
+            if merged and s < merged[-1][2]:
+                merged[-1] = ("random", merged[-1][1], max(e, merged[-1][2]))
+            else:
+                merged.append(("random", s, e))
+        spans = secret_spans(t) + merged
+        want[(i, digest(spans, secrets.ORDER))] += 1
+        if at in planted:
+            encoding, token = planted[at]
+            s = t.index(token)
+            hits[encoding] += any(min(b, s + len(token)) - max(a, s) >= 0.8 * len(token) for _, a, b in spans)
+    assert got == want
+    assert sum(hits.values()) >= 0.9 * len(planted) and min(hits.values()) >= 0.75 * 36, hits
+    ordinary_found = sum("random" in s for (i, s) in want if i is not None and i not in planted and i < 5000)
+    assert ordinary_found <= 0.1 * len(rows), ordinary_found
 
 
 def luhn(d):
@@ -422,8 +521,6 @@ def test_sha_of_texts(spark):
 
 
 def test_word_ids_equal_the_tokenizer(monkeypatch):
-    import random
-
     monkeypatch.setattr(packing, "CACHED_WORDS", 300)
     coder, rng = packing.WordIds(packing.default_tokenizer()), random.Random(1)
     letters = [*"abcABC.,!?;:'0129éÉßẞİıΣσςǅﬁªº漢٣²½ñÅK_-@#<|>", "̃", "‍", "\x1c", "\x85", *" " * 6, "\n"]
