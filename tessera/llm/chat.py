@@ -16,39 +16,34 @@ def _safe(text: Column) -> Column:
 
 
 def perspectives(
-    turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = SYSTEM, part_turns: int = 10_000
+    turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = SYSTEM
 ) -> DataFrame:
     """Render each conversation from the side of every participant.
 
     Participants are the speakers except `system`, whose turns are context in each rendering. The participant's turns
     open with assistant, other speakers' with user and their name; the mask trains on the participant's texts and the
-    marks that close them. Turns go by turn number, then speaker, then text; repeated rows are repeated turns.
-
-    A conversation is rendered in parts of `part_turns` turn numbers each, one after the other (part 0, 1, ...), so that
-    no task gathers more than a part of it; participants are those of the whole conversation. Nearly all have one part.
+    marks that close them. Turns go by turn number, then speaker, then text; repeated rows are repeated turns. There is
+    one row for each participant of a conversation, whatever its length: as the dialogue is that row, a task holds the
+    turns of one conversation, and they must fit a row (2 GB). Turns are shuffled once; participants are read off them.
     A row without a conversation id is a conversation of its own.
 
-    Returns the conversation id, part (long), perspective, rendered, n_turns, n_chars, n_train_chars (long) and mask: runs of
+    Returns the conversation id, perspective, rendered, n_turns, n_chars, n_train_chars (long) and mask: runs of
     characters, u (untrained) or t (trained) with their lengths, comma-joined. A null speaker is named "unknown"; a null
-    turn number comes first, in part 0; a null text is empty. Conversations of system turns alone give no row. Other columns are
+    turn number comes first; a null text is empty. Conversations of system turns alone give no row. Other columns are
     left out. An empty table gives an empty one.
     """
-    turn = F.col(f"`{turn_col}`")
     rows = turns.select(
         F.col(f"`{conv_col}`").alias("__conv"),
-        F.greatest(F.floor(F.coalesce(turn, F.lit(0)) / part_turns), F.lit(0)).cast("long").alias("part"),
         F.struct(
-            turn.alias("n"),
+            F.col(f"`{turn_col}`").alias("n"),
             F.coalesce(F.col(f"`{speaker_col}`").cast("string"), F.lit("unknown")).alias("who"),
             F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("said"),
         ).alias("__turn"),
     )
-    known = rows.where("__conv IS NOT NULL")
-    parts = known.groupBy("__conv", "part").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
-    people = known.select("__conv", F.col("__turn.who").alias("perspective")).where(F.col("perspective") != system).distinct()
-    lone = rows.where("__conv IS NULL").where(F.col("__turn.who") != system)
-    lone = lone.select("__conv", F.lit(0).cast("long").alias("part"), F.array("__turn").alias("__turns"), F.col("__turn.who").alias("perspective"))
-    each = parts.join(people, "__conv").unionByName(lone)
+    whole = rows.where("__conv IS NOT NULL").groupBy("__conv").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
+    each = whole.unionByName(rows.where("__conv IS NULL").select("__conv", F.array("__turn").alias("__turns")))
+    people = F.filter(F.array_distinct(F.transform("__turns", lambda t: t["who"])), lambda who: who != system)
+    each = each.select("__conv", "__turns", F.explode(people).alias("perspective"))
     me = F.col("perspective")
 
     def head(t: Column) -> Column:
@@ -58,7 +53,7 @@ def perspectives(
     spoken = F.transform(
         "__turns", lambda t: F.struct(head(t).alias("head"), F.concat(_safe(t["said"]), F.lit(CLOSE)).alias("body"), (t["who"] == me).alias("own"))
     )
-    each = each.select("__conv", "part", "perspective", spoken.alias("__parts"))
+    each = each.select("__conv", "perspective", spoken.alias("__parts"))
     text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"])), "")
     runs = F.transform(
         "__parts",
@@ -69,7 +64,6 @@ def perspectives(
     trained = F.aggregate("__parts", F.lit(0).cast("long"), lambda s, p: s + F.when(p["own"], F.length(p["body"])).otherwise(0))
     out = each.select(
         F.col("__conv").alias(conv_col),
-        "part",
         "perspective",
         text.alias("rendered"),
         F.size("__parts").cast("long").alias("n_turns"),
@@ -82,26 +76,26 @@ def perspectives(
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return out.select(
-        "conv_id", "part", "perspective", "n_turns", "n_chars", "n_train_chars", "mask", F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256")
+        "conv_id", "perspective", "n_turns", "n_chars", "n_train_chars", "mask", F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256")
     )
 
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, greatest(floor(coalesce(turn, 0) / 10000), 0)::BIGINT AS part, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'
 ), parts AS (
-  SELECT p.conv_id, t.part, p.perspective, t.turn, t.who, t.said, t.who = p.perspective AS own,
+  SELECT p.conv_id, p.perspective, t.turn, t.who, t.said, t.who = p.perspective AS own,
     '<|' || CASE WHEN t.who = 'system' THEN 'system' WHEN t.who = p.perspective THEN 'assistant'
                  ELSE 'user name=' || replace(t.who, '<|', '< |') END || '|>' || chr(10) AS head,
     replace(t.said, '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM p JOIN t ON p.conv_id = t.conv_id
 )
-SELECT conv_id, part, perspective, count(*) AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars,
+SELECT conv_id, perspective, count(*) AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars,
   coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_train_chars,
   string_agg(CASE WHEN own THEN 'u' || length(head) || ',t' || length(body)
                   ELSE 'u' || (length(head) + length(body)) END, ',' ORDER BY turn, who, said) AS mask,
   sha256(string_agg(head || body, '' ORDER BY turn, who, said)) AS rendered_sha256
-FROM parts GROUP BY conv_id, part, perspective
+FROM parts GROUP BY conv_id, perspective
 """

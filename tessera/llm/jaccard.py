@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,7 +137,7 @@ def _postings(reps: DataFrame, size: int, percent: int, sketch: np.ndarray, part
                 if total >= 1_000_000:
                     yield flush()
                     total = 0
-        if held:
+        if total:  # none in a task of empty texts
             yield flush()
 
     return reps.select("cls", "__text").mapInArrow(run, "p long, blob binary")
@@ -373,6 +373,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     are replaced. Ids are whole numbers. A null or empty text has no shingles and is its own group. A row of null id is in no
     group (component_id null). Rows of one id are one document, with the links of each. An empty table gives an empty one.
     """
+    base, rows = _grouped(docs, id_col, text_col, size, percent)
+    out = base.join(rows, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left")
+    return overlay(out, "__row", {"n_shingles": F.col("n"), "component_id": F.col("c")})
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The packed rows of docs, and for each (id, text's hash) its set's size and group: (i, t, n, c), without texts."""
     spark = docs.sparkSession
     base = packed(docs, id_col, text_col).withColumn("__id", F.col("__id").cast("long"))
     facts = written(_facts(base, size), "jaccard-facts")
@@ -434,18 +441,26 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = own.join(group, (F.col("dig") == F.col("d")) & (F.col("n") > 0), "left")
     # rows of one id whose sets differ are one document: the least of their groups
     rows = rows.select(F.col("__id").alias("i"), F.col("__th").alias("t"), "n", F.when(F.col("__id").isNotNull(), F.coalesce("component", "__id")).alias("c"))
-    rows = rows.dropDuplicates(["i", "t"])
-    out = base.join(rows, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left")
-    return overlay(out, "__row", {"n_shingles": F.col("n"), "component_id": F.col("c")})
+    return base, rows.dropDuplicates(["i", "t"])
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of similar_groups() the row of its least id stays, once; rows of null id stay. Columns of docs."""
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col)
-    rows = groups.where(F.col(f"`{id_col}`").isNull() | (F.col(f"`{id_col}`") == F.col("component_id")))
-    w = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`"))
-    rows = rows.withColumn("__rank", F.row_number().over(w)).where((F.col("__rank") == 1) | F.col(f"`{id_col}`").isNull())
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group of similar_groups() one document stays, once: the one of most shingles, of those the largest id.
+
+    So what only one member of a group still holds, such as lines that line dedup left in the last document, is not lost
+    to a shorter one. The choice is made among ids and sizes; texts are read once, without those that go. Of rows of equal
+    id and text one stays; of one id's unlike texts the fullest. Rows of null id stay. Returns the columns of docs.
+    """
+    base, rows = _grouped(docs, id_col, text_col, size, percent)
+    rows = written(rows.where("c IS NOT NULL"), "jaccard-members")
+    best = rows.groupBy(F.col("c").alias("bc")).agg(F.max(F.struct("n", "i", "t")).alias("best"))
+    gone = rows.join(best, (F.col("c") == F.col("bc")) & (F.struct("n", "i", "t") != F.col("best"))).select("i", "t")
+    gone = written(gone, "jaccard-gone")
+    left = base.join(maybe_broadcast(gone, gone.count()), (F.col("__id") == F.col("i")) & (F.col("__th") == F.col("t")), "left_anti")
+    again = written(left.where("__id IS NOT NULL").groupBy("__id", "__th").count().where("count > 1"), "jaccard-again")
+    if not again.isEmpty():
+        left = left.where("__id IS NOT NULL").dropDuplicates(["__id", "__th"]).unionByName(left.where("__id IS NULL"))
+    return overlay(left, "__row", {})
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     punct = len(raw) - len(raw.translate(None, b"!?.,;:"))
     m, c = max(n, 1), max(chars, 1)
     features = [
-        min(chars / m, 50.0), symbols / c, dup / max(len(lines), 1), repeat / m, upper / c, punct / m,
+        chars / m, symbols / c, dup / max(len(lines), 1), repeat / m, upper / c, punct / m,
         sum(len(w) < 3 for w in words) / m,
     ]
     return [n, chars, symbols, dup, repeat], [float(x) for x in features]

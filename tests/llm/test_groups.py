@@ -3,12 +3,13 @@
 import datetime
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tessera.llm import chat, components, jaccard, suffix, warc
+from tessera.llm import chat, components, jaccard, packing, quality, suffix, warc
 
 from .helpers import docs_of, lower, odd_rows, words_of
 
@@ -74,8 +75,16 @@ def test_one_of_each(spark):
     docs = docs_of(spark, rows)
     out = jaccard.one_of_each(docs)
     assert out.columns == docs.columns
-    want = groups_of(rows)
-    assert Counter(r.doc_id for r in out.collect()) == Counter(set(want.values())) + Counter({None: 2})
+    assert Counter(r.doc_id for r in out.collect()) == Counter(fullest(rows)) + Counter({None: 2})
+    assert jaccard.one_of_each(docs_of(spark, [])).count() == 0
+
+
+def fullest(rows):
+    """Of each group the id with the largest set, the last of those."""
+    groups, sizes, best = groups_of(rows), {i: max(map(len, s)) for i, s in sets_of(rows).items()}, {}
+    for i, g in groups.items():
+        best[g] = max(best.get(g, (-1, -1)), (sizes[i], i))
+    return {i for _, i in best.values()}
 
 
 def test_bitmaps_rule_out_no_link():
@@ -171,11 +180,14 @@ def test_chats(spark):
     assert Counter((r.conv_id, r.perspective, r.rendered, r["mask"], r.n_train_chars, r.n_turns) for r in out) == want
     assert all(r.n_chars == len(r.rendered) for r in out)
     assert chat.perspectives(df.limit(0)).count() == 0
-    # parts of a long conversation follow each other
-    whole = {(r.conv_id, r.perspective): r.rendered for r in out if r.conv_id == 1}
-    parts = chat.perspectives(df.where("conv_id = 1"), part_turns=2).orderBy("part").collect()
-    assert max(r.part for r in parts) == 1
-    assert {k: "".join(r.rendered for r in parts if (r.conv_id, r.perspective) == k) for k in whole} == whole
+    # whatever its length and however its turns are numbered, a conversation is a row for each participant
+    for first, step in ((0, 1), (10**12, 60_000)):
+        turns = [(1, first + step * k, ("ann", "bob", "eve")[k % 3], f"said {k}") for k in range(12_000)]
+        talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+        got = {r.perspective: (r.rendered, r["mask"], r.n_train_chars) for r in chat.perspectives(talk).collect()}
+        assert got == {me: rendered([t[1:] for t in turns], me) for me in ("ann", "bob", "eve")}
+    long = spark.createDataFrame([(1, 1, "ann", "x" * 3_000_000)], "conv_id long, turn long, role string, text string")
+    assert chat.perspectives(long).first().n_train_chars == 3_000_000 + len("<|end|>\n")
 
 
 def test_canonical_urls(spark):
@@ -225,22 +237,86 @@ def test_revisits_by_date_and_payload(spark):
     assert got == {2: ("resolved", "body"), 3: ("mismatch", None), 4: ("resolved", "body")}
 
 
-def test_pipeline(spark, tmp_path):
+def corpus(spark, path, rows, schema="doc_id long, text string, lang string, source string, n_chars long", items=(), labels=()):
+    """The three tables that the pipeline reads."""
+    extra = len(schema.split(",")) - 5
+    spark.createDataFrame([(i, t, None, "s", len(t or ""), *["x"] * extra) for i, t in rows], schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def common_lines(rows):
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(lower(line.strip(" \t\n\x0b\x0c\r")), set()).add(i)
+    return {k: s for k, s in holders.items() if len(k) >= 20 and len(s) >= 3}
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage against brute force on its own input; the whole gives the same."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, t) for i, t in odd_rows(8, 60) if i is not None] + near_rows(5, 12, 2)
-    docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(5, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    leak = " ".join(next(t for i, t in rows if i == 9 and t).split()[:11])
-    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = []
+    rows = odd_rows(8, 60) + near_rows(5, 12, 2) + [(3000 + k, f"a line that all of these documents share\n{' '.join(f'{w}z{k // 2}' for w in range(60))}") for k in range(6)]
+    leak = next(t for i, t in rows if i == 9 and t)
+    docs = corpus(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long, `__id` string, n_words string, component_id string, kept string, th string", [(1, " ".join(leak.split()[:11]))], [(i, 1, 0) for i in range(5, 40)])
+    read = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    stages, now = dict(pipeline.STAGES), {}
+    before = docs
     for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, str(tmp_path))
-        out.write.parquet(f"{tmp_path}/{name}")
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now[name] = spark.read.parquet(f"{tmp_path}/{name}")
         if name != "packing":
-            assert out.columns == docs.columns
-            docs = spark.read.parquet(f"{tmp_path}/{name}")
-            seen.append(docs.count())
-    assert seen[0] < len(rows) and seen[2] < seen[1] == seen[0] and seen == sorted(seen, reverse=True)
+            assert now[name].columns == docs.columns
+            before = now[name]
+    assert list(stages) == ["quality_rules", "line_dedup", "jaccard_join", "decontamination", "packing"]
+    verdicts = quality.quality_rules(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).select("doc_id", "n_words", "kept")
+    good, kept = read(now["quality_rules"]), Counter(r.doc_id for r in verdicts.collect() if r.kept)
+    assert Counter(i for i, _ in good) == kept and not any(len(words_of(t)) < 10 for _, t in good) and 0 < len(good) < len(rows)
+    common = common_lines(good)
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    cut = lambda i, t: "\n".join(x for x in (t or "").split("\n") if key(x) not in common or i == max(j for j in common[key(x)] if j is not None))
+    lines = read(now["line_dedup"])
+    assert Counter(lines) == Counter((i, cut(i, t)) for i, t in good) and lines != good
+    assert all(r.n_chars == len(r.text) for r in now["line_dedup"].collect())
+    ones = read(now["jaccard_join"])
+    assert Counter(i for i, _ in ones) == Counter(fullest(lines)) + Counter(i for i, _ in lines if i is None) and len(ones) < len(lines)
+    assert set(ones) <= set(lines)
+    # what many documents shared is still there, unless it was a whole document and a near copy of that stays
+    lost = {k for k in common if not any(k == key(x) for _, t in ones for x in t.split("\n"))}
+    assert lost <= {key(t) for _, t in lines} and len(lost) < len(common)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    item = word.findall(lower(" ".join(leak.split()[:11])))
+    windows = {tuple(item[k : k + 10]) for k in range(max(1, len(item) - 9))}
+    clean = [(i, t) for i, t in ones if not windows & {tuple(w[k : k + 10]) for w in [word.findall(lower(t))] for k in range(len(w))}]
+    assert Counter(read(now["decontamination"])) == Counter(clean) and len(clean) < len(ones)
+    packed = now["packing"].collect()
+    size = Counter()
+    for r in packed:
+        size[r.doc_id] += r.length
+    coder = packing.WordIds(packing.default_tokenizer())
+    want = Counter()
+    for i, t in clean:
+        want[i] += len(coder.tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert size == want
     whole = pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in whole} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole if r.length == r.doc_tokens) >= Counter()
+    assert Counter({i: sum(r.length for r in whole if r.doc_id == i) for i in want}) == want
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    corpus(spark, tmp_path, [])
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_pipeline_of_nulls(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = " ".join(f"w{k}" for k in range(50))
+    corpus(spark, tmp_path, [(None, text), (None, None), (1, None), (2, text), (3, text)], labels=[(None, None, None)], items=[(None, None)])
+    size = Counter()
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        size[r.doc_id] += r.length
+    # the line of three documents stays in the last; what is left of the others is empty, and like nothing
+    assert set(size) == {None, 2, 3} and size[None] == size[2] == 1 < size[3]

@@ -507,7 +507,67 @@ def test_quality(spark):
     assert all(r.kept != r.base_failed for r in unlabelled)
 
 
-@pytest.mark.parametrize("n", [3, 1998, 2001, 3000, 12_000])
+def path_of(tree, x, k=0):
+    """Depth at which a row ends up in a tree, and what an unbuilt subtree would add."""
+    feature, cut, left, at_leaf = tree
+    return at_leaf[k] if left[k] < 0 else path_of(tree, x, left[k] + (x[feature[k]] > cut[k]))
+
+
+def test_anomaly_against_a_plain_forest_walk(spark):
+    """Scores, thresholds and verdicts from the definition: mean path length over trees, bands, labelled rows."""
+    rows = [(i, t) for i, t in odd_rows(5, 150)] + [(600 + i, "*** ### $$$ %%% &&& " * 3 + " ".join(f"### j{i}x{j} $$$" for j in range(60))) for i in range(12)]
+    rows += [(800 + i, " ".join(["ab", "abcd", "abcde"][(i + k) % 3] + str(k) for k in range(n))) for i, n in enumerate((1999, 2000, 2001))]
+    said = [(i, 1, 0) for i in range(10, 150, 2)] + [(600 + i, 0, 0) for i in range(8)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(said, "doc_id long, quality int, toxic int")
+    out = quality.quality_rules(docs, labels).collect()
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("x")).withColumn("th", F.xxhash64("x")).withColumn("h", F.xxhash64("doc_id", "th")).collect()
+    passing = sorted(((r.h, -(2**63) if r.doc_id is None else r.doc_id, r.th, r.x) for r in keyed if len(words_of(r.x)) >= 10))
+    forest = quality.Forest(np.array([quality.statistics(x)[1] for *_, x in passing]))
+    c = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    assert len(forest.trees) == quality.TREES
+    score = {(r.doc_id, r.x): 2 ** (-np.mean([path_of(t, quality.statistics(r.x)[1]) for t in forest.trees]) / c(min(quality.GROWN_FROM, len(passing)))) for r in keyed}
+    by_id = {}
+    for (i, x), v in score.items():
+        by_id.setdefault(i, []).append(v)
+    for r in out:
+        assert min(abs(r.anomaly - v) for v in by_id[r.doc_id]) < 1e-9
+    # thresholds again: the lowest step that keeps 99.9 % of a band's good rows and has mostly bad ones above it
+    label, limits = {i: q for i, q, _ in said}, {}
+    band = lambda n: min(int(math.log2(max(n, 1))), quality.LAST_BAND)
+    for b in range(quality.LAST_BAND + 1):
+        known = [(int(r.anomaly * quality.STEPS), label[r.doc_id]) for r in out if r.doc_id in label and not r.base_failed and band(r.n_words) == b]
+        good = [s for s, q in known if q]
+        fits = [s for s in {s for s, _ in known} if sum(g >= s for g in good) <= 0.001 * len(good) and sum(k >= s and not q for k, q in known) > sum(g >= s for g in good)]
+        limits[b] = min(fits, default=quality.STEPS + 1)
+    for r in out:
+        assert r.kept == (not r.base_failed and int(r.anomaly * quality.STEPS) < limits[band(r.n_words)]), r.doc_id
+    assert sum(not r.kept and not r.base_failed for r in out) >= 8
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_forest_grows_by_random_splits(first):
+    """Leaves hold the rows that their splits lead to; depths are limited and a full leaf adds its expected path."""
+    rng = np.random.default_rng(first)
+    rows = np.vstack((rng.normal(size=(400, 7)), np.full((3, 7), 9.0)))
+    forest = quality.Forest(rows, seed=first)
+    limit = math.ceil(math.log2(quality.GROWN_FROM))
+    for feature, cut, left, depth in forest.trees[:10]:
+        todo, leaves = [(0, 0)], 0
+        while todo:
+            k, d = todo.pop()
+            if left[k] < 0:
+                leaves += 1
+                assert d <= limit and d <= depth[k] <= d + forest.expected(quality.GROWN_FROM)
+            else:
+                assert 0 <= feature[k] < 7 and rows[:, feature[k]].min() <= cut[k] <= rows[:, feature[k]].max()
+                todo += [(left[k], d + 1), (left[k] + 1, d + 1)]
+        assert leaves * 2 - 1 == len(left)
+    scores = forest.score(rows)
+    assert scores[400:].min() > np.quantile(scores[:400], 0.99)
+    assert forest.expected(1) == 0 and forest.expected(2) == 1 and abs(forest.expected(256) - 10.244) < 0.01
+
+
+@pytest.mark.parametrize("n", [3, 1998, 1999, 2000, 2001, 3000, 12_000])
 def test_short_words_of_texts_of_any_length(n):
     for first in range(3):
         words = [["ab", "abcd", "abcde"][(first + i) % 3] for i in range(n)]
