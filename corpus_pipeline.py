@@ -30,7 +30,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies stays."""
+    """Of each group of near copies the fullest document stays, the last of those: common lines were left in the last."""
     return one_of_each(docs)
 
 
