@@ -5,7 +5,8 @@ offsets, and what is unique at one offset is not looked at again. Ranking all po
 16 bytes for each byte of text and round, so the first round ranks only anchors: in each window of `length` bytes the
 leftmost of its least hashes of ANCHOR bytes. Equal windows have equal anchors at equal places, so a window whose anchor
 is unique is unique. The second round ranks (anchor, all that the windows of the same anchor cover); the third ranks the
-windows themselves, at offset `length`, for anchors that still have unlike surroundings. Ranks are 64-bit fingerprints.
+windows themselves, at offset `length`, for anchors that still have unlike surroundings. Ranks are fingerprints: of runs 64 bits
+next to the 64 of their anchor, compared within one anchor's runs alone; of windows 128 bits.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ FREQUENT_SHARE, FREQUENT_LEAST = 2000, 256
 
 #: Runs, and stretches of text in question, that a task is dealt on average at most.
 RUNS_IN_TASK, STRETCHES_IN_TASK = 1_000_000, 20_000
-#: Rows that a task gathers before it passes them on.
-FLUSH_ROWS = 250_000
+#: Rows that a task gathers before it passes them on; those of frequent anchors in blobs of so many.
+FLUSH_ROWS, OFTEN_ROWS = 250_000, 100_000
 
-_ODD = 0x9E3779B97F4A7C15
+#: Bases of the two families of fingerprints.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-_WIN = np.dtype([("wh", "<u8"), ("id", "<i8"), ("th", "<i8"), ("at", "<i4"), ("times", "<i4")])
+_WIN = np.dtype([("wh", "<u8"), ("wl", "<u8"), ("id", "<i8"), ("th", "<i8"), ("at", "<i4"), ("times", "<i4")])
 _LOW = np.uint64(0xFFFFF)
 _tables: dict[str, np.ndarray] = {}
 
@@ -53,12 +55,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Prints:
     """Fingerprints of any stretch of some bytes, in constant time each, from sums of byte codes times powers."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        if "codes" not in _tables:
-            _tables["codes"] = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+    def __init__(self, raw: np.ndarray, family: int = 0) -> None:
+        codes = f"codes{family}"
+        if codes not in _tables:
+            _tables[codes] = np.random.default_rng(11 + family).integers(0, 2**64, 256, dtype=np.uint64)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_tables["codes"][raw] * _powers("up", _ODD, len(raw)), out=self.sums[1:])
-        self.down = _powers("down", pow(_ODD, -1, 2**64), len(raw) + 1)
+        np.cumsum(_tables[codes][raw] * _powers(f"up{family}", _ODD[family], len(raw)), out=self.sums[1:])
+        self.down = _powers(f"down{family}", pow(_ODD[family], -1, 2**64), len(raw) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -176,7 +179,14 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
     known = np.array(sorted(x & (2**64 - 1) for x in frequent), np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, often, total = [], [], 0
+        held, often, total, n_often = [], [], 0, 0
+
+        def flush_often() -> pa.RecordBatch:
+            # equal runs of a blob stand for each other here already: they meet nowhere else
+            rows = np.concatenate(often)
+            often.clear()
+            return _blobs([(1, int(x["key"][0] % np.uint64(parts)), x.tobytes()) for x in np.array_split(rows, -(-len(rows) // OFTEN_ROWS))])
+
         for batch in batches:
             for i, th, text in zip(batch.column("__id").to_pylist(), batch.column("__th").to_pylist(), batch.column("__text"), strict=True):
                 key, seg, lo, hi = anchored_runs(_raw(text.as_py()), length)
@@ -186,7 +196,11 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
                 held.append(rows[~full])
                 if full.any():
                     often.append(rows[full])
-                total += len(rows)
+                    n_often += len(often[-1])
+                if n_often >= OFTEN_ROWS:
+                    yield flush_often()
+                    n_often = 0
+                total += len(held[-1])
                 if total >= FLUSH_ROWS:
                     rows = np.concatenate(held)
                     yield _blobs(_dealt(rows, rows["key"] >> np.uint64(20), parts, 0))
@@ -194,9 +208,8 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
         if held:
             rows = np.concatenate(held)
             yield _blobs(_dealt(rows, rows["key"] >> np.uint64(20), parts, 0))
-        if often:  # equal runs of a task stand for each other here already: they meet nowhere else
-            rows = np.concatenate(often)
-            yield _blobs([(1, int(x["key"][0] % np.uint64(parts)), x.tobytes()) for x in np.array_split(rows, -(-len(rows) // 100_000))])
+        if often:
+            yield flush_often()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -215,11 +228,15 @@ def _rank_runs(base: DataFrame, length: int, frequent: set[int], parts: int) ->
     return base.select("__id", "__th", "__text").mapInArrow(deal, "kind long, p long, blob binary").repartition(parts, "p").mapInArrow(judge, _VERDICT)
 
 
-def _repeated(x: np.ndarray) -> np.ndarray:
-    """Which values come twice or more."""
+def _repeated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of values come twice or more."""
     order = np.argsort(x)
     s = x[order]
     same = s[1:] == s[:-1]
+    if (same & (y[order][1:] != y[order][:-1])).any():  # equal in one half alone, or not next to each other
+        order = np.lexsort((y, x))
+        s = x[order]
+        same = (s[1:] == s[:-1]) & (y[order][1:] == y[order][:-1])
     twice = np.zeros(len(x), bool)
     twice[1:] |= same
     twice[:-1] |= same
@@ -248,9 +265,9 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(often)
-            order, group = _groups(rows["wh"])
+            order, group = _groups(rows["wh"], rows["wl"])
             rows, times = rows[order], np.bincount(group)[group]
-            first = np.concatenate(([True], rows["wh"][1:] != rows["wh"][:-1]))
+            first = np.concatenate(([True], group[1:] != group[:-1]))
             rows["times"] = np.where(rows["times"] < 0, -times, times)
             # all but one copy know their answer, and so does that one; it still goes on to answer others
             mine = rows[(times > 1) & (rows["times"] > 0)]
@@ -276,7 +293,8 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
                         part, n = raw[lo : hi + length], hi - lo + 1
                         at = np.arange(n)
                         rows = np.empty(n, _WIN)
-                        rows["wh"], rows["id"], rows["th"], rows["at"], rows["times"] = Prints(part).of(at, at + length), i, th, at + lo, 1 if kind == 13 else -1
+                        rows["wh"], rows["wl"] = (Prints(part, family).of(at, at + length) for family in (0, 1))
+                        rows["id"], rows["th"], rows["at"], rows["times"] = i, th, at + lo, 1 if kind == 13 else -1
                         often.append(rows)
                         size += n
             if blobs:
@@ -288,8 +306,8 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
             yield flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of each window its print (with its anchor mixed in), the stretch it is of, and its place there
-        prints, stretches, places = [], [], []
+        # of each window its prints (with its anchor mixed in), the stretch it is of, and its place there
+        prints, more, stretches, places = [], [], [], []
         known: list[np.ndarray] = []
         heads, texts, size, count = [], [], 0, 0
 
@@ -303,6 +321,7 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = begin[of] + k
             prints.append(Prints(raw).of(at, at + length) ^ _mix(head["key"])[of])
+            more.append(Prints(raw, 1).of(at, at + length))
             stretches.append((of + count).astype(np.int32))
             places.append(k.astype(np.int32))
             known.append(head)
@@ -329,15 +348,16 @@ def _settle_windows(questions: DataFrame, length: int, parts: int) -> DataFrame:
         if heads:
             rank()
         if prints:
-            again = _repeated(np.concatenate(prints))
+            again = _repeated(np.concatenate(prints), np.concatenate(more))
             prints.clear()
+            more.clear()
             head, of, k = np.concatenate(known), np.concatenate(stretches), np.concatenate(places)
             again &= (head["hi"] >= 0)[of]  # of the rest the answer is known
             head, k = head[of[again]], k[again]
             yield _ranges(head["id"], head["th"], head["lo"] + k)
         if often:
             rows = np.concatenate(often)
-            rows = rows[_repeated(rows["wh"]) & (rows["times"] == 1)]
+            rows = rows[_repeated(rows["wh"], rows["wl"]) & (rows["times"] == 1)]
             yield _ranges(rows["id"], rows["th"], rows["at"])
 
     return questions.mapInArrow(deal, "kind long, p long, blob binary").repartition(parts, "p").mapInArrow(settle, "id long, th long, lo long, hi long")
@@ -363,7 +383,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # a task holds what is dealt to it: so much of it, however few partitions the session asks for
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs // RUNS_IN_TASK + 1)
     verdicts = written(_rank_runs(keyed, length, frequent, parts), "suffix-runs")
-    asked = verdicts.where("kind > 1")
+    # a run that asks twice is of a row that is there twice, in tasks or blobs of its own: its windows are repeated
+    asked = verdicts.where("kind > 1").groupBy("id", "th", "lo", "hi", "key").agg(F.min("kind").alias("kind"), F.count("*").alias("rows"))
+    asked = written(asked.withColumn("kind", F.when(F.col("rows") > 1, 12).otherwise(F.col("kind"))), "suffix-asked")
     per_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi", "kind", "key")).alias("runs"))
     per_doc = written(per_doc, "suffix-questions")
     n = per_doc.count()
@@ -374,7 +396,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # rows of equal id and text have asked once for all
     texts = texts.dropDuplicates(["__id", "__th"]).join(per_doc, same).select("__id", "__th", "__text", "runs")
     settled = _settle_windows(texts, length, max(parts, stretches // STRETCHES_IN_TASK + 1))
-    ranges = verdicts.where("kind = 1").select("id", "th", "lo", "hi").unionByName(settled)
+    known = verdicts.where("kind = 1").unionByName(asked.where("rows > 1"), allowMissingColumns=True)
+    ranges = known.select("id", "th", "lo", "hi").unionByName(settled)
     per_doc = written(ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-ranges")
     done = keyed.join(per_doc, same, "left").select("__row", "__text", "ranges")
     names = [f.name for f in done.schema["__row"].dataType.fields if f.name.lower() not in {"kept", "n_bytes", "n_removed", "n_spans"}]

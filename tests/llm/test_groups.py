@@ -152,6 +152,29 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     assert got == {1: (4000, 1), 2: (4000, 1), 3: (0, 0)}
 
 
+@pytest.mark.parametrize("blob", [100_000, 7])
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, blob):
+    """A row that is there twice is a copy of itself, however its runs are dealt; so are rows of null id."""
+    monkeypatch.setattr(suffix, "FREQUENT_LEAST", 4)
+    monkeypatch.setattr(suffix, "FREQUENT_SHARE", 400)
+    monkeypatch.setattr(suffix, "OFTEN_ROWS", blob)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdé ") for _ in range(300))
+    lone = ["".join(rng.choice("xyz ") for _ in range(250)) + passage + f"{k}{passage[100:290]}" for k in range(12)]
+    rows = [(k, t) for k, t in enumerate(lone)] + [(3, lone[3]), (4, lone[4]), (None, lone[5]), (None, lone[5]), (None, "z" * 150), (70, "q" * 200 + lone[6][:120])]
+    out = suffix.remove_repeats(docs_of(spark, rows, 6)).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out)
+    assert got == cut_rows(rows, 200)
+
+
+def test_equal_halves_are_no_equal_prints():
+    x, y = np.array([5, 5, 5, 5, 9, 9], np.uint64), np.array([1, 2, 1, 3, 4, 4], np.uint64)
+    assert suffix._repeated(x, y).tolist() == [True, False, True, False, True, True]
+    raw = np.frombuffer(b"abcdabcd", np.uint8)
+    one, two = (suffix.Prints(raw, k).of(np.arange(5), np.arange(5) + 4) for k in (0, 1))
+    assert one[0] == one[4] and two[0] == two[4] and len(set(one.tolist()) | set(two.tolist())) == 8
+
+
 def rendered(turns, me):
     safe = lambda s: s.replace("<|", "< |")
     text, mask, n = "", [], 0
