@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ SKETCH_BITS = 21
 SHORT_LIST = 32
 #: Shingles of a block of sets, about; each set counts as SET_LEAST at least, so that a block's sets are few as well.
 BLOCK_SHINGLES, SET_LEAST = 400_000, 128
+#: The same for the first look at long lists, where a block need only meet the list's first set.
+FIRST_SHINGLES = 100_000
 #: A counter at so many times the median marks shingles whose lists are not brought together (and at least HOT_LEAST).
 HOT_TIMES, HOT_LEAST = 16, 8192
 
@@ -88,7 +91,8 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sketch(facts: DataFrame) -> np.ndarray:
-    """The counters of all documents: summed by tasks, then once more; of a fixed size, so the driver may have them."""
+    """The counters of all documents: summed by tasks, by some of them, then once more; of a fixed size, so the driver may
+    have them. Each task adds up about the root of their number."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -97,8 +101,9 @@ def _sketch(facts: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part"])
 
-    sums = facts.where("part IS NOT NULL").select("part").mapInArrow(add, "part binary")
-    rows = sums.coalesce(1).mapInArrow(add, "part binary").collect()
+    sums = written(facts.where("part IS NOT NULL").select("part").mapInArrow(add, "part binary"), "jaccard-sketch")
+    some = max(1, math.isqrt(sums.count()))
+    rows = sums.repartition(some).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
     return np.frombuffer(zlib.decompress(rows[0].part), "<i8") if rows else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
@@ -170,7 +175,7 @@ def _pairs_of(rows: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, .
 
 def _candidates(blobs: DataFrame, percent: int, parts: int, short: int) -> DataFrame:
     """kind 0: pairs of classes with how many prefix shingles they share and where the last stands; kind 1: postings of
-    long lists and full counters (a: shingle, b: class, na: size)."""
+    long lists and full counters (a: shingle, b: class, la: position, na: size)."""
     schema = "kind byte, a long, b long, cnt long, la long, lb long, na long, nb long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +209,7 @@ def _candidates(blobs: DataFrame, percent: int, parts: int, short: int) -> DataF
         for rows in long_rows:
             if len(rows):
                 zero = np.zeros(len(rows), np.int64)
-                cols = [np.ones(len(rows), np.int8), rows["tok"].copy().view(np.int64), rows["cls"].astype(np.int64), zero, zero, zero, rows["n"].astype(np.int64), zero]
+                cols = [np.ones(len(rows), np.int8), rows["tok"].copy().view(np.int64), rows["cls"].astype(np.int64), zero, rows["pos"].astype(np.int64), zero, rows["n"].astype(np.int64), zero]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PAIR)
 
     return blobs.mapInArrow(run, schema)
@@ -319,9 +324,9 @@ def _weight() -> Column:
     return F.greatest("n", F.lit(SET_LEAST))
 
 
-def _block(n_total: str) -> Column:
-    """Which of the blocks of n_total shingles a class falls into."""
-    return F.pmod(F.xxhash64("cls"), F.ceil(F.col(n_total) / BLOCK_SHINGLES).cast("long"))
+def _block(n_total: str, size: int) -> Column:
+    """Which of the blocks of `size` of n_total shingles a class falls into."""
+    return F.pmod(F.xxhash64("cls"), F.ceil(F.col(n_total) / size).cast("long"))
 
 
 def _first_units(posts: DataFrame) -> DataFrame:
@@ -330,33 +335,49 @@ def _first_units(posts: DataFrame) -> DataFrame:
     best = posts.join(lists, "tok").groupBy("cls").agg(F.max(F.struct("c", "tok")).alias("m"), F.max("n").alias("n"))
     best = written(best.select("cls", "n", F.col("m.tok").alias("tok")), "jaccard-first")
     of = best.groupBy("tok").agg(F.sum(_weight()).alias("w"), F.min("cls").alias("lead"))
-    rows = best.join(of, "tok").select("tok", "cls", _block("w").alias("block"), "lead", "w")
-    lead = of.select("tok", F.col("lead").alias("cls"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / BLOCK_SHINGLES).cast("long") - 1)).alias("block"))
+    rows = best.join(of, "tok").select("tok", "cls", _block("w", FIRST_SHINGLES).alias("block"), "lead", "w")
+    lead = of.select("tok", F.col("lead").alias("cls"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("w") / FIRST_SHINGLES).cast("long") - 1)).alias("block"))
     both = rows.select("tok", "cls", "block").unionByName(lead.select("tok", "cls", "block")).distinct()
     return both.select(F.col("tok").alias("u1"), F.col("block").alias("u2"), F.lit(0).cast("long").alias("u3"), "cls", F.col("cls").alias("label"))
 
 
-def _rest_units(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """What long lists still ask for: members outside a list's largest group with each other and with that group.
+def block_kind(n: Column, pos: Column, percent: int) -> tuple[Column, Column]:
+    """The band of a posting's size, and whether it stands deep in its set.
 
-    Blocks of the largest group aren't compared with each other: what its members would add is known.
+    Sets that link are of one band or of neighbouring ones. They meet in the list of their first common shingle, where all
+    they share is yet to come: each must have as many shingles left there as least_overlap() asks for. What has too few for
+    a set of its own size is deep: it can only link with a smaller set, and that one isn't deep then.
     """
-    known = posts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("tok", "cls", "n", F.coalesce("root", "cls").alias("label"))
+    band = F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else n.cast("long")
+    return band, (n - pos) * (100 + percent) < percent * 2 * n
+
+
+def _rest_units(posts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """What long lists still ask for: blocks outside a list's largest group with each other and with that group's.
+
+    A list is cut into blocks by size band, by position (deep or not) and by class. Pairs of blocks are skipped as wholes
+    whose sizes or positions allow no link; and those of the largest group among themselves, as what they add is known.
+    """
+    known = posts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("tok", "cls", "n", "pos", F.coalesce("root", "cls").alias("label"))
     known = written(known, "jaccard-lists")
     groups = known.groupBy("tok", "label").agg(F.sum(_weight()).alias("w"))
-    top = groups.groupBy("tok").agg(F.max(F.struct("w", "label")).alias("m"), F.count("*").alias("g"), F.sum("w").alias("all_w")).where("g > 1")
-    top = written(top.select("tok", F.col("m.label").alias("top"), F.col("m.w").alias("top_w"), (F.col("all_w") - F.col("m.w")).alias("rest_w")), "jaccard-tops")
-    rows = known.join(top, "tok")
-    k_rest = F.ceil(F.col("rest_w") / BLOCK_SHINGLES).cast("long")
-    main = rows.where("label = top").select("tok", "cls", "label", _block("top_w").alias("b"), F.explode(F.sequence(F.lit(0), k_rest - 1)).alias("o"))
-    main = main.select(F.col("tok").alias("u1"), (-1 - F.col("b")).alias("u2"), F.col("o").alias("u3"), "cls", "label")
-    rest = rows.where("label <> top").withColumn("b", _block("rest_w"))
-    k_top = F.ceil(F.col("top_w") / BLOCK_SHINGLES).cast("long")
-    to_main = rest.select("tok", "cls", "label", "b", F.explode(F.sequence(F.lit(0), k_top - 1)).alias("o"))
-    to_main = to_main.select(F.col("tok").alias("u1"), (-1 - F.col("o")).alias("u2"), F.col("b").alias("u3"), "cls", "label")
-    among = rest.where(k_rest > 1).select("tok", "cls", "label", "b", F.explode(F.sequence(F.lit(0), k_rest - 1)).alias("o")).where("b <> o")
-    among = among.select(F.col("tok").alias("u1"), F.least("b", "o").alias("u2"), F.greatest("b", "o").alias("u3"), "cls", "label")
-    return main.unionByName(to_main).unionByName(among)
+    top = groups.groupBy("tok").agg(F.max(F.struct("w", "label")).alias("m"), F.count("*").alias("g")).where("g > 1")
+    top = written(top.select("tok", F.col("m.label").alias("top")), "jaccard-tops")
+    band, deep = block_kind(F.col("n"), F.col("pos"), percent)
+    rows = known.join(top, "tok").select("tok", "cls", "n", "label", band.alias("band"), deep.alias("deep"), (F.col("label") == F.col("top")).alias("main"))
+    kinds = rows.groupBy("tok", "band", "deep", "main").agg(F.sum(_weight()).alias("w"))
+    blocks = kinds.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("w") / BLOCK_SHINGLES).cast("long") - 1)))
+    blocks = written(blocks.withColumn("at", F.struct("band", "deep", "main", "k")), "jaccard-blocks").select("tok", "at")
+    x, y = blocks.select(F.col("tok").alias("xt"), F.col("at").alias("x")), blocks.select("tok", F.col("at").alias("y"))
+    x_small, step = F.col("x.band") <= F.col("y.band"), F.abs(F.col("x.band") - F.col("y.band"))
+    may = (step <= 1) & ~(F.col("x.main") & F.col("y.main")) & ~(F.col("x.deep") & F.col("y.deep"))
+    # a deep one is the larger of its pair
+    may &= ~(F.col("x.deep") & x_small & (step == 1)) & ~(F.col("y.deep") & ~x_small)
+    pairs = y.join(x, (F.col("tok") == F.col("xt")) & (F.col("x") <= F.col("y")) & may)
+    pairs = pairs.select("tok", "x", "y", F.xxhash64("x").alias("u2"), F.xxhash64("y").alias("u3"))
+    units = pairs.select(F.col("tok").alias("u1"), "u2", "u3", F.col("x").alias("at")).unionByName(pairs.where("x <> y").select(F.col("tok").alias("u1"), "u2", "u3", F.col("y").alias("at")))
+    rows = rows.join(kinds, ["tok", "band", "deep", "main"]).withColumn("k", _block("w", BLOCK_SHINGLES)).select("tok", "cls", "label", F.struct("band", "deep", "main", "k").alias("place"))
+    return units.join(rows, (F.col("u1") == F.col("tok")) & (F.col("at") == F.col("place"))).select("u1", "u2", "u3", "cls", "label")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -366,8 +387,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order, rare ones first; sets that link share one of their first shingles. Lists of such shingles up to SHORT_LIST
     give pairs, skipped by size and position and pruned by what the shared prefix leaves possible. First each class is
     verified with its likeliest partner, and long lists by blocks around a common member; groups found are known from
-    then on, and only pairs and blocks between different groups are verified next. Within a block a set's overlaps are
-    derived from those of a set like it. Exact: every link between different texts is within a group found.
+    then on, and only pairs and blocks between different groups are verified next, blocks skipped by size and position
+    (block_kind()). Within a block a set's overlaps are derived from those of a set like it. Exact: every link between different texts is within a group found.
 
     Returns the columns of docs, and n_shingles and component_id (the least id of the group); columns of these names
     are replaced. Ids are whole numbers. A null or empty text has no shingles and is its own group. A row of null id is in no
@@ -408,7 +429,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     # all they share up to the last shared place is counted; beyond it either can give what it has left
     enough = 100 * (F.col("cnt") + F.least(F.col("na") - F.col("la") - 1, F.col("nb") - F.col("lb") - 1))
     pairs = written(pairs.where(enough * (100 + percent) >= 100 * percent * (F.col("na") + F.col("nb"))), "jaccard-pairs")
-    posts = found.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("cls"), F.col("na").alias("n"))
+    posts = found.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("cls"), F.col("na").alias("n"), F.col("la").alias("pos"))
     posts = written(posts.join(posts.groupBy("tok").count().where("count > 1").select("tok"), "tok", "left_semi"), "jaccard-postings")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(posts.select(F.col("cls").alias("c"))).distinct()
@@ -433,7 +454,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     at = roots.select(F.col("node").alias("n1"), F.col("root").alias("r1"))
     open_pairs = pairs.join(at, pairs["a"] == at["n1"], "left").withColumn("ra", F.coalesce("r1", "a")).drop("n1", "r1")
     open_pairs = open_pairs.join(at, open_pairs["b"] == at["n1"], "left").where(F.col("ra") != F.coalesce("r1", "b"))
-    more = written(_verify_pairs(open_pairs, sets, percent).unionByName(_verify_units(_rest_units(posts, roots), sets, percent)), "jaccard-edges")
+    more = written(_verify_pairs(open_pairs, sets, percent).unionByName(_verify_units(_rest_units(posts, roots, percent), sets, percent)), "jaccard-edges")
     roots = components(edges.unionByName(more))
 
     group = classes.join(roots, classes["cls"] == roots["node"], "left").select("dig", F.coalesce("root", "cls").alias("component"))

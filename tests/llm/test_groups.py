@@ -22,7 +22,7 @@ def sets_of(rows):
     return out
 
 
-def groups_of(rows):
+def groups_of(rows, percent=80):
     sets = sets_of([(i, t) for i, t in rows if i is not None])
     parent = {i: i for i in sets}
 
@@ -34,7 +34,7 @@ def groups_of(rows):
     ids = sorted(sets)
     for i in ids:
         for j in ids:
-            if i < j and any(100 * len(x & y) >= 80 * len(x | y) and x and y for x in sets[i] for y in sets[j]):
+            if i < j and any(100 * len(x & y) >= percent * len(x | y) and x and y for x in sets[i] for y in sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -59,6 +59,7 @@ def near_rows(seed, n, edits):
 def test_jaccard_groups(spark, monkeypatch, short, block):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "FIRST_SHINGLES", block)
     rows = odd_rows(6, 40) + near_rows(1, 40, 3) + near_rows(2, 30, 8) + [(2000, "A b c"), (2001, "a B c"), (2002, "a b c d"), (2003, "a b c d e f"), (7, "another text of document seven, unlike it")]
     out = jaccard.similar_groups(docs_of(spark, rows)).collect()
     want = groups_of(rows)
@@ -87,6 +88,22 @@ def fullest(rows):
     return {i for _, i in best.values()}
 
 
+@pytest.mark.parametrize(("percent", "shift"), [(80, 0), (60, 0), (100, 0), (80, 60)])
+def test_blocks_skipped_by_position_lose_no_link(spark, monkeypatch, percent, shift):
+    """Long lists alone, of unlike sizes: sets that share a common stretch and more or less beyond it."""
+    for name, value in (("SHORT_LIST", 1), ("BLOCK_SHINGLES", 700), ("FIRST_SHINGLES", 700), ("SET_LEAST", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(percent + shift)
+    common = [f"c{k}" for k in range(90)]
+    rows = []
+    for i in range(110):
+        low, high = rng.randint(0, 25) + shift // 4, rng.randint(50, 90)
+        rows.append((i, " ".join([f"a{i}x{k}" for k in range(rng.choice((0, 0, 2, 9)))] + common[low:high] + [f"z{i % 7}y{k}" for k in range(rng.choice((0, 0, 3, 15, 40)))])))
+    out = {r.doc_id: r["component_id"] for r in jaccard.similar_groups(docs_of(spark, rows), percent=percent).collect()}
+    want = groups_of(rows, percent)
+    assert out == want and 1 < len(set(want.values())) < len(rows)
+
+
 def test_bitmaps_rule_out_no_link():
     rng = np.random.default_rng(0)
     for _ in range(200):
