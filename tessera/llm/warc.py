@@ -15,16 +15,34 @@ BLOCK_SECONDS = 3600
 RECORD = "record_id long, warc_type string, uri string, warc_date timestamp, status int, headers map<string,string>, payload string"
 
 
+def _percent(text: Column) -> Column:
+    """Percent escapes in one form: letters, digits and -._~ stand for themselves, other escapes have upper-case digits."""
+
+    def piece(p: Column, i: Column) -> Column:
+        code, rest = F.conv(F.left(p, F.lit(2)), 16, 10).cast("int"), F.substring(p, 3, 2**31 - 1)
+        plain = F.char(code).rlike("^[A-Za-z0-9._~-]$")
+        escape = F.when(plain, F.concat(F.char(code), rest)).otherwise(F.concat(F.lit("%"), F.upper(F.left(p, F.lit(2))), rest))
+        return F.when(i == 0, p).when(p.rlike("^[0-9A-Fa-f]{2}"), escape).otherwise(F.concat(F.lit("%"), p))
+
+    return F.when(text.contains("%"), F.array_join(F.transform(F.split(text, "%", -1), piece), "")).otherwise(text)
+
+
 def canonical_url(url: Column) -> Column:
-    """A URL as a key: no scheme, www, default port, fragment, tracking parameters or final slash; host in lower case."""
+    """A URL as a key: no scheme, user, www, default port, fragment, tracking parameters or final slash; host in lower
+    case; query sorted; escapes as _percent() has them. A port is the scheme's default, or 80 or 443 without a scheme."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
+    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     u = F.regexp_replace(u, "(?i)^[a-z][a-z0-9+.-]*://", "")
+    u = F.regexp_replace(u, "^[^/?@]*@", "")
     u = F.regexp_replace(u, "(?i)^www[0-9]*\\.", "")
-    host = F.lower(F.regexp_replace(F.regexp_extract(u, "^[^/?]*", 0), ":(80|443)$", ""))
+    host = F.lower(F.regexp_extract(u, "^[^/?]*", 0))
+    port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").when(scheme == "", ":(80|443)$").otherwise("(?!)")
+    host = F.regexp_replace(F.regexp_replace(host, port, F.lit("")), ":$", "")
     path = F.regexp_replace(F.regexp_extract(u, "^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.split(F.regexp_extract(u, "\\?(.*)$", 1), "&")
-    query = F.array_sort(F.filter(query, lambda q: (q != "") & ~F.lower(q).rlike(f"^(?:{TRACKING})(?:=|$)")))
-    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
+    query = F.filter(query, lambda q: (q != "") & ~F.lower(q).rlike(f"^(?:{TRACKING})(?:=|$)"))
+    query = F.array_sort(F.transform(query, _percent))
+    return F.concat(host, _percent(path), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
 
 
 def lower_keys(headers: Column) -> Column:
@@ -132,36 +150,51 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    out = resolve_revisits(records)
+    # digests instead of the payloads themselves go through the join
+    digests = records.where("payload IS NOT NULL").withColumn("payload", F.sha2(F.encode("payload", "UTF-8"), 256))
+    out = with_payload(resolve_revisits(records), digests)
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda p: F.concat_ws("=", p["key"], p["value"]))
-    return out.select("record_id", "canonical_url", "response_id", "outcome", F.col("status").cast("int").alias("status"), F.array_join(pairs, ";").alias("headers"))
+    return out.select(
+        "record_id", "canonical_url", "response_id", "outcome", F.col("status").cast("int").alias("status"), F.array_join(pairs, ";").alias("headers"), F.col("payload").alias("payload_sha256")
+    )
+
+
+_HOST = r"""regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')),
+  CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' WHEN '' THEN ':(80|443)$' ELSE 'a^' END, ''), ':$', '')"""
+
 
+def _plain(text: str) -> str:
+    """Escapes in one form, piece by piece: what follows a percent sign begins with two hexadecimal digits or not."""
+    first = "TRY_CAST('0x' || left(p, 2) AS INTEGER)"
+    plain = f"{first} BETWEEN 48 AND 57 OR {first} BETWEEN 65 AND 90 OR {first} BETWEEN 97 AND 122 OR {first} IN (45, 46, 95, 126)"
+    piece = f"CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{{2}}') THEN '%' || p WHEN {plain} THEN chr({first}) || p[3:] ELSE '%' || upper(left(p, 2)) || p[3:] END"
+    return f"array_to_string(list_transform(string_split({text}, '%'), lambda p, i: {piece}), '')"
 
-_HOST = r"""lower(regexp_replace(regexp_extract(u, '^[^/?]*'), ':(80|443)$', ''))"""
 
 ORACLE = f"""
 WITH p AS (
-  SELECT page_id, '"' || sha1(coalesce(html, '')) || '"' AS tag,
-    regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^[wW][wW][wW][0-9]*[.]', '') AS u
+  SELECT page_id, '"' || sha1(coalesce(html, '')) || '"' AS tag, sha256(html) AS body, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^[^/?@]*@', ''), '^[wW][wW][wW][0-9]*[.]', '') AS u
   FROM pages
 ), q AS (
-  SELECT page_id, tag, {_HOST} || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
-    list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS args
+  SELECT page_id, tag, body, {_HOST} || {_plain("regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '')")} AS base,
+    list_sort(list_transform(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)')), lambda x: {_plain("x")})) AS args
   FROM p
 ), r AS (
-  SELECT page_id, tag, base || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url,
+  SELECT page_id, tag, body, base || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url,
     page_id * 60 AS fetched, page_id * 60 + (page_id % 7) * 86400 AS again
   FROM q
 ), j AS (
   SELECT a.page_id, a.url, CASE WHEN a.page_id % 10 = 0 THEN '"stale"' ELSE a.tag END AS own_tag,
-    b.page_id AS response_id, b.tag AS response_tag
+    b.page_id AS response_id, b.tag AS response_tag, b.body
   FROM r a JOIN r b ON a.url = b.url AND b.fetched <= a.again
   QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY b.fetched DESC, b.page_id DESC) = 1
 )
 SELECT -1 - page_id AS record_id, url AS canonical_url, response_id,
   CASE WHEN own_tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
   CASE WHEN own_tag = response_tag THEN 200 ELSE 304 END AS status,
-  'cache-control=no-cache;content-type=' || CASE WHEN own_tag = response_tag THEN 'text/html' ELSE 'text/plain' END || ';etag=' || own_tag AS headers
+  'cache-control=no-cache;content-type=' || CASE WHEN own_tag = response_tag THEN 'text/html' ELSE 'text/plain' END || ';etag=' || own_tag AS headers,
+  CASE WHEN own_tag = response_tag THEN body END AS payload_sha256
 FROM j
 """

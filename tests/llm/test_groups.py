@@ -235,6 +235,29 @@ def test_canonical_urls(spark):
     df = spark.createDataFrame([(u,) for u in [*same, "http://ex.org", None, "http://ex.org/A?"]], "u string")
     got = [r[0] for r in df.select(warc.canonical_url(df.u)).collect()]
     assert got[:3] == ["ex.org/a/b?x=1&y=2"] * 3 and got[3:] == ["ex.org", None, "ex.org/A"]
+    # escapes, users and ports
+    cases = {
+        "http://ex.org/%7Eme/%c3%a9/%41?q=%2f%62": "ex.org/~me/%C3%A9/A?q=%2Fb", "ex.org/100%": "ex.org/100%", "ex.org/%zz%4": "ex.org/%zz%4", "ex.org/a%2Fb": "ex.org/a%2Fb",
+        "http://me:pw@ex.org:80/": "ex.org", "https://ex.org:80/": "ex.org:80", "http://ex.org:443/": "ex.org:443", "ftp://ex.org:80/x": "ex.org:80/x", "http://ex.org:/x@y": "ex.org/x@y", "": "",
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r[0]: r[1] for r in df.select("u", warc.canonical_url(df.u)).collect()} == cases
+    import duckdb
+
+    pages = [(k, u, "<html>") for k, u in enumerate(cases)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    by_sql = {-1 - r[0]: r[1] for r in db.sql(f"SELECT record_id, canonical_url FROM ({warc.ORACLE})").fetchall()}
+    assert by_sql == {k: cases[u] for k, u, _ in pages}
+
+
+def test_revisits_with_long_headers(spark):
+    at = datetime.datetime(2024, 1, 1)
+    big = {f"X-{k}": "v" * 1000 for k in range(500)} | {"ETag": '"1"'}
+    rows = [(1, "response", "a.org/" + "p" * 100_000, at, 200, big, "b"), (2, "revisit", "a.org/" + "p" * 100_000, at, 304, {"ETag": 'W/"1"', "Set-Cookie": "c" * 200_000}, None)]
+    out = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()
+    assert [(r.record_id, r.response_id, r.outcome, len(r.headers)) for r in out] == [(2, 1, "resolved", 501)] and out[0].headers["etag"] == 'W/"1"'
 
 
 def test_revisits(spark):
