@@ -6,16 +6,16 @@ import math
 
 import numpy as np
 
-# Lloyd-Max quantizers of a unit normal; positive halves, mirrored below.
+# Lloyd-Max quantizers of a unit normal.
 _CENTROIDS = {
-    2: (0.4528, 1.5104),
-    3: (0.2451, 0.7560, 1.3439, 2.1520),
-    4: (0.1227, 0.3685, 0.6424, 0.9424, 1.2562, 1.6180, 2.0690, 2.7326),
+    2: (-1.5104, -0.4528, 0.4528, 1.5104),
+    3: (-2.1520, -1.3439, -0.7560, -0.2451, 0.2451, 0.7560, 1.3439, 2.1520),
+    4: (-2.7326, -2.0690, -1.6180, -1.2562, -0.9424, -0.6424, -0.3685, -0.1227, 0.1227, 0.3685, 0.6424, 0.9424, 1.2562, 1.6180, 2.0690, 2.7326),
 }
 _BOUNDARIES = {
-    2: (0.9816,),
-    3: (0.5006, 1.0500, 1.7480),
-    4: (0.2582, 0.5224, 0.7996, 1.0993, 1.4372, 1.8435, 2.4008),
+    2: (-0.9816, 0.0, 0.9816),
+    3: (-1.7480, -1.0500, -0.5006, 0.0, 0.5006, 1.0500, 1.7480),
+    4: (-2.4008, -1.8435, -1.4372, -1.0993, -0.7996, -0.5224, -0.2582, 0.0, 0.2582, 0.5224, 0.7996, 1.0993, 1.4372, 1.8435, 2.4008),
 }
 # Mean squared error that the first stage leaves, by bits.
 _RESIDUAL_ENERGY = {2: 0.11767, 3: 0.03454, 4: 0.00961}
@@ -25,8 +25,7 @@ def get_codebook(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, boundaries) in rising order."""
     if bits not in _CENTROIDS:
         raise ValueError(f"bits must be 2, 3 or 4; got {bits}")
-    c, b = np.array(_CENTROIDS[bits]), np.array(_BOUNDARIES[bits])
-    return np.concatenate((-c[::-1], c)), np.concatenate((-b[::-1], [0.0], b))
+    return np.array(_CENTROIDS[bits]), np.array(_BOUNDARIES[bits])
 
 
 def half_centroids(bits: int) -> np.ndarray:

@@ -136,5 +136,10 @@ def nearest(v: Column, centroids: np.ndarray) -> Column:
     return let(v, number)
 
 
+#: Unicode's white space and the four separators that count as such.
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def snippet(text: Column, size: int = 220) -> Column:
-    return F.substring(F.regexp_replace(F.trim(text), r"\s+", " "), 1, size)
+    """The beginning of a text, without white space at its ends and with one blank for each other stretch of it."""
+    return F.substring(F.btrim(F.regexp_replace(text, BLANKS, " "), F.lit(" ")), 1, size)

@@ -115,6 +115,11 @@ def product_scores(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
+def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for: (rows, M x width)."""
+    return books[np.arange(len(books)), codes].reshape(len(codes), -1)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int, digits: int = 9) -> np.ndarray:
     """Rows of the k best scores; equal ones (to `digits`) go by id."""
     s = np.round(scores, digits)

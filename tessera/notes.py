@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--tag", action="append", help="any of these; may be given several times")
     a = parser.parse_args(argv)
     if a.command == "clear":
-        if not (Path(a.store) / "index" / "manifest").exists():
+        if not (Path(a.store) / "index" / store.POINTER).exists():
             print(f"no index in {a.store}")
             return 1
         for part in ("index", "sidecar", "chunks"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
 from typing import Any
 
 import numpy as np
@@ -15,43 +15,49 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.codebooks import padded_dim
-from .topk import query_blocks, ranked, result_schema, scan
+from .topk import every, query_blocks, ranked, result_schema, scan
 
-#: Ids of a filter that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: What is broadcast at most, in rows and in bytes of ids; more is joined by a shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 500_000, 16 << 20
 
-Scorer = Callable[[pa.RecordBatch], np.ndarray]
+#: Scores of a batch: (rows, queries).
+Matrix = Callable[[pa.RecordBatch], np.ndarray]
+#: Scores of a batch's rows, each for its own query: the query's number for each row is given.
+Pairwise = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Without one only a local session has its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+    return found or "file:///tmp/checkpoints"
 
 
-class Freezable:
-    """A switch that makes changing methods raise; reading goes on."""
+def sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if it was counted and measured to be small."""
+    r = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("id").cast("string")) + 16), F.lit(0)).alias("b")).first()
+    return F.broadcast(ids) if r.n <= BROADCAST_IDS and r.b <= BROADCAST_BYTES else ids
 
-    _frozen = False
 
-    @property
-    def frozen(self) -> bool:
-        return self._frozen
-
-    def freeze(self) -> None:
-        self._frozen = True
+def changes(method: Callable[..., Any]) -> Callable[..., Any]:
+    """Marks a method that changes the index: it raises while the index is frozen."""
 
-    def unfreeze(self) -> None:
-        self._frozen = False
+    @wraps(method)
+    def guarded(self: VectorIndex, *args: Any, **kwargs: Any) -> Any:
+        if self.frozen:
+            raise RuntimeError(f"the index is frozen, and {method.__name__} would change it; unfreeze it before")
+        return method(self, *args, **kwargs)
 
-    def _check_not_frozen(self, operation: str) -> None:
-        if self._frozen:
-            raise RuntimeError(f"{operation}() on a frozen index; call unfreeze() first")
+    return guarded
 
 
-class VectorIndex(Freezable):
+class VectorIndex:
     """Rows (id, codes, ...) encoded from (id, embedding).
 
     Ids are one long or string column and unique. Each add writes a segment to the shared folder, so an index never grows
-    a lineage; deleting writes new segments. Vectors must have the index's dimension and finite coordinates.
+    a lineage; deleting writes those segments anew that hold the ids. Segments that are replaced stay for results that
+    are still to be read, until vacuum() or close(). Vectors must have the index's dimension and finite coordinates.
     """
 
     kind = ""
@@ -60,10 +66,12 @@ class VectorIndex(Freezable):
 
     def __init__(self, spark: SparkSession, dim: int, *, seed: int = 0, normalized: bool = False) -> None:
         if dim < 1:
-            raise ValueError(f"dim must be >= 1; got {dim}")
+            raise ValueError(f"dim is {dim}; vectors have 1 coordinate at least")
         self.spark, self.dim, self.seed, self.normalized = spark, dim, seed, normalized
         self.pdim = padded_dim(dim)
+        self.frozen = False
         self.segments: list[str] = []
+        self._written: set[str] = set()  # segments of its own, in use or replaced
         self._cached: DataFrame | None = None
 
     # -- what an index defines ----------------------------------------------------------------------------------------
@@ -81,8 +89,12 @@ class VectorIndex(Freezable):
     def _encoder(self) -> Callable[[np.ndarray], dict[str, pa.Array]]:
         raise NotImplementedError
 
-    def _scorer(self, q: np.ndarray, **options: Any) -> Scorer:
-        """From unit queries to a function of batches: (rows, queries)."""
+    def _scorer(self, q: np.ndarray, **options: Any) -> Matrix:
+        """From unit queries to a function of batches."""
+        raise NotImplementedError
+
+    def _pairwise(self, q: np.ndarray) -> Pairwise:
+        """Like _scorer, for rows that have one query each."""
         raise NotImplementedError
 
     def _ready(self, operation: str) -> None:
@@ -94,10 +106,11 @@ class VectorIndex(Freezable):
     def rows(self) -> DataFrame | None:
         if self._cached is not None:
             return self._cached
-        if not self.segments:
-            return None
+        return self._read(self.segments) if self.segments else None
+
+    def _read(self, segments: list[str]) -> DataFrame:
         # read one by one: a segment may be a tree of partitions
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.segments])
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in segments])
 
     def _frame(self, ids: Any, vectors: Any) -> DataFrame:
         if isinstance(ids, DataFrame):
@@ -106,7 +119,7 @@ class VectorIndex(Freezable):
         if x.ndim != 2 or x.shape[1] != self.dim:
             raise ValueError(f"vectors must have the shape (n, {self.dim}); got {x.shape}")
         if len(ids) != len(x):
-            raise ValueError(f"{len(ids)} ids for {len(x)} vectors")
+            raise ValueError(f"vectors and ids must be as many; got {len(x)} and {len(ids)}")
         kind = T.StringType() if any(isinstance(i, str) for i in ids) else T.LongType()
         schema = T.StructType([T.StructField("id", kind), T.StructField("embedding", T.ArrayType(T.FloatType()))])
         return self.spark.createDataFrame([(i, v) for i, v in zip(ids, x.tolist(), strict=True)], schema)
@@ -128,20 +141,29 @@ class VectorIndex(Freezable):
 
         return vectors.select("id", "embedding").mapInArrow(run, schema)
 
+    @changes
     def add(self, id: Any, vector: Any) -> None:
         self.add_batch([id], np.asarray(vector, np.float32)[None, :])
 
+    def known(self, new: DataFrame) -> DataFrame:
+        """The ids of `new` that the index has: the new ones, when few, go to the index's rows, which are not shuffled."""
+        if not self.segments:
+            return new.select("id").limit(0)
+        return self.rows.select("id").join(sized(new.select("id")), "id", "left_semi")
+
+    def conflicts(self, new: DataFrame) -> DataFrame:
+        """The ids of `new` that can't be added: in the index already, or given twice."""
+        twice = new.groupBy("id").count().where("count > 1").select("id")
+        return twice.unionByName(self.known(new)).distinct()
+
+    @changes
     def add_batch(self, ids: Any, vectors: Any = None) -> None:
         """Add (id, embedding) rows of a DataFrame, or ids and a matrix. Bad vectors and known ids raise ValueError."""
-        self._check_not_frozen("add_batch")
         self._ready("add_batch")
         new = self._frame(ids, vectors)
         wrong = F.col("embedding").isNull() | F.col("id").isNull() | (F.size("embedding") != self.dim)
         wrong = wrong | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        twice = new.groupBy("id").count().where("count > 1").select("id")
-        if self.segments:
-            twice = twice.unionByName(new.join(self.rows.select("id"), "id", "left_semi").select("id"))
-        problem = new.where(F.coalesce(wrong, F.lit(True))).select(F.lit("vector").alias("p")).unionByName(twice.select(F.lit("id").alias("p"))).first()
+        problem = new.where(F.coalesce(wrong, F.lit(True))).select(F.lit("vector").alias("p")).unionByName(self.conflicts(new).select(F.lit("id").alias("p"))).first()
         if problem:
             raise ValueError(f"add_batch: vectors must be {self.dim} finite coordinates" if problem.p == "vector" else "add_batch: an id is given twice or in the index already")
         self._append(self.encoded(new))
@@ -150,11 +172,12 @@ class VectorIndex(Freezable):
         path = f"{shared_dir(self.spark).rstrip('/')}/index-{self.kind}-{uuid.uuid4().hex}"
         self._write(rows, path)
         self.segments.append(path)
+        self._written.add(path)
         self._drop_cache()
 
+    @changes
     def compact(self) -> None:
         """Rewrite the rows as one segment, after many small adds."""
-        self._check_not_frozen("compact")
         if len(self.segments) > 1:
             rows, self.segments = self.rows, []
             self._append(rows)
@@ -162,27 +185,36 @@ class VectorIndex(Freezable):
     def _write(self, rows: DataFrame, path: str) -> None:
         rows.write.parquet(path)
 
+    def vacuum(self) -> None:
+        """Delete segments that were replaced: once no result that reads them is still to be read."""
+        for path in self._written - set(self.segments):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._written &= set(self.segments)
+
+    @changes
     def delete(self, *ids: Any) -> bool:
-        """Remove ids, or the ids of a DataFrame; whether any was there."""
-        self._check_not_frozen("delete")
+        """Remove ids, or the ids of a DataFrame; whether any was there. Only segments that hold one are written anew."""
         if not self.segments or not ids:
             return False
         gone = self._id_frame(ids[0] if isinstance(ids[0], DataFrame) else list(ids))
-        rows = self.rows
-        if rows.join(gone, "id", "left_semi").isEmpty():
+        each = [self.spark.read.parquet(p).select("id", F.lit(i).alias("segment")) for i, p in enumerate(self.segments)]
+        found = reduce(DataFrame.unionByName, each).join(gone, "id", "left_semi").select("segment").distinct().collect()
+        if not found:
             return False
-        self.segments = []
+        touched = [self.segments[r.segment] for r in found]
+        rows = self._read(touched)
+        self.segments = [p for p in self.segments if p not in touched]
         self._append(rows.join(gone, "id", "left_anti").select(*rows.columns))
         return True
 
     def _id_frame(self, ids: Any) -> DataFrame:
         if isinstance(ids, DataFrame):
-            frame = ids.select("id").distinct()
-            return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+            return sized(ids.select("id").distinct())
         kind = self.rows.schema["id"].dataType
         fits = str if isinstance(kind, T.StringType) else int
         known = [(i,) for i in set(ids) if isinstance(i, fits)]
-        return F.broadcast(self.spark.createDataFrame(known, T.StructType([T.StructField("id", kind)])))
+        return sized(self.spark.createDataFrame(known, T.StructType([T.StructField("id", kind)])))
 
     def __len__(self) -> int:
         return self.rows.count() if self.segments else 0
@@ -193,18 +225,20 @@ class VectorIndex(Freezable):
     # -- life cycle ---------------------------------------------------------------------------------------------------
 
     def freeze(self) -> None:
-        """Freeze, and keep the rows in memory for the searches to come."""
-        super().freeze()
+        """From here on changing methods raise, and the rows are in memory: the first search finds them read."""
+        self.frozen = True
         if self.segments and self._cached is None:
             self._cached = self.rows.persist()
+            self._cached.count()
 
     def unfreeze(self) -> None:
-        super().unfreeze()
+        self.frozen = False
         self._drop_cache()
 
+    @changes
     def close(self) -> None:
-        self._check_not_frozen("close")
         self._drop_cache()
+        self.vacuum()
 
     def _drop_cache(self) -> None:
         if self._cached is not None:
@@ -228,7 +262,7 @@ class VectorIndex(Freezable):
         scoring. Queries go in blocks of bounded size, each in one scan.
         """
         if k < 1:
-            raise ValueError(f"k must be >= 1; got {k}")
+            raise ValueError(f"k is {k}; it must be 1 at least")
         self._check_options(k, options)
         self._ready("search")
         query_type = queries.schema["query_id"].dataType
@@ -247,26 +281,27 @@ class VectorIndex(Freezable):
             raise TypeError(f"unknown options: {', '.join(options)}")
 
     def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
-        return ranked(scan(self._filtered(filter_ids), ids, query_type, k, self._scorer(q, **options)), k)
+        return ranked(scan(self._filtered(filter_ids), ids, query_type, k, every(self._scorer(q, **options))), k)
 
     def search(self, query: Any, k: int = 10, *, filter_ids: Any = None, **options: Any) -> list[tuple[Any, float]]:
         """[(id, score)] of one query, best first."""
         q = self.spark.createDataFrame([(0, [float(x) for x in np.asarray(query).ravel()])], "query_id long, embedding array<double>")
         return [(r.id, r.score) for r in self.search_batch(q, k, filter_ids=filter_ids, **options).orderBy("rank").collect()]
 
-    def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Scorer, k: int) -> DataFrame:
+    def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Pairwise, k: int) -> DataFrame:
         """Rows of a pool (query_id, id) of at most pool_rows, scored anew, each for its own query; `rows` hold them."""
         place = {q: j for j, q in enumerate(query_ids)}
         pool = pool.select("query_id", "id")
-        rows = rows.join(F.broadcast(pool) if pool_rows <= BROADCAST_IDS else pool, "id")
+        # pairs of numbers have a known size; of others the engine finds out while it runs
+        numbers = all(not isinstance(f.dataType, T.StringType) for f in pool.schema)
+        rows = rows.join(F.broadcast(pool) if numbers and 16 * pool_rows <= BROADCAST_BYTES else pool, "id")
         schema = result_schema(pool.schema["query_id"].dataType, pool.schema["id"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     own = np.array([place[x] for x in batch.column("query_id").to_pylist()])
-                    score = scorer(batch)[np.arange(len(own)), own]
-                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(score)], names=["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scorer(batch, own))], names=["query_id", "id", "score"])
 
         return ranked(rows.mapInArrow(run, schema), k)
 

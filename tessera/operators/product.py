@@ -15,11 +15,31 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..plans.training import TRAIN_ROWS, balancing_rotation, covariance, kmeans, train_books, training_sample
-from .index import Scorer, VectorIndex
-from .topk import ranked, scan
+from .index import Matrix, Pairwise, VectorIndex, changes
+from .topk import Scored, Scorer, ranked, scan
 
 #: Training rows for each coarse cluster below which fit() warns.
 ROWS_PER_CLUSTER = 30
+#: Queries up to which a scan looks inner products up in tables; more of them are multiplied with decoded rows.
+TABLES = 8
+
+
+class CodeScores:
+    """(rows, queries) scores of product codes.
+
+    A task makes what it needs of the queries and codebooks that it is sent: tables of M x K numbers for a few queries,
+    kept for its other batches; for many it decodes rows and takes one matrix product, so nothing grows with queries x K.
+    """
+
+    def __init__(self, q: np.ndarray, books: np.ndarray) -> None:
+        self.q, self.books, self._tables = q, books, None
+
+    def __call__(self, codes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+        if len(self.q) > TABLES:
+            return kernels.decoded(codes, self.books) @ (self.q if which is None else self.q[which]).T
+        if self._tables is None:
+            self._tables = kernels.product_tables(self.q, self.books)
+        return kernels.product_scores(codes, self._tables if which is None else self._tables[which])
 
 
 class ProductIndex(VectorIndex):
@@ -34,15 +54,15 @@ class ProductIndex(VectorIndex):
     def __init__(self, spark: SparkSession, dim: int, M: int = 16, K: int = 256, *, seed: int = 0, normalized: bool = False, use_rht: bool = False, use_opq: bool = False) -> None:
         super().__init__(spark, dim, seed=seed, normalized=normalized)
         if not 2 <= K <= 256:
-            raise ValueError(f"K must be in 2..256; got {K}")
+            raise ValueError(f"K is {K}; a code is a byte, so 2 to 256 centroids fit")
         if M < 1:
-            raise ValueError(f"M must be >= 1; got {M}")
+            raise ValueError(f"M is {M}; there is 1 subspace at least")
         if use_rht and use_opq:
             raise ValueError("use_rht and use_opq exclude each other")
         self.pdim = self.pdim if use_rht else dim
         if self.pdim % M:
             divisors = [d for d in range(1, self.pdim + 1) if self.pdim % d == 0]
-            raise ValueError(f"M must divide {self.pdim}; got {M}, possible are {divisors}")
+            raise ValueError(f"{M} subspaces don't divide {self.pdim} coordinates evenly; these do: {divisors}")
         self.M, self.K, self.use_rht, self.use_opq = M, K, use_rht, use_opq
         self.books: np.ndarray | None = None
         self.rotation: np.ndarray | None = None
@@ -92,14 +112,14 @@ class ProductIndex(VectorIndex):
         return q if self.rotation is None else q @ self.rotation
 
     def _train(self, x: np.ndarray, iterations: int) -> None:
-        self.books = train_books(x, self.M, self.K, iterations, self.seed)
+        self.books = train_books(x, self.M, self.K, iterations, self.seed, self.spark)
 
     def _least_rows(self) -> int:
         return self.K
 
+    @changes
     def fit(self, vectors: Any, kmeans_iters: int = 15) -> None:
         """Train once, on a matrix or on (id, embedding)."""
-        self._check_not_frozen("fit")
         if self.fitted:
             raise RuntimeError("fit() was called before; make a new index")
         if not isinstance(vectors, DataFrame):
@@ -122,11 +142,11 @@ class ProductIndex(VectorIndex):
 
         return encode
 
-    def _scorer(self, q: np.ndarray, **options: Any) -> Scorer:
-        tables, m, normalized = kernels.product_tables(self._query(q), self.books), self.M, self.normalized
+    def _scorer(self, q: np.ndarray, **options: Any) -> Matrix:
+        scores, m, normalized = CodeScores(self._query(q), self.books), self.M, self.normalized
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
-            out = kernels.product_scores(kernels.bytes_of(batch.column("codes"), m), tables)
+            out = scores(kernels.bytes_of(batch.column("codes"), m))
             return out if normalized else out * batch.column("norm").to_numpy(zero_copy_only=False)[:, None]
 
         return score
@@ -157,7 +177,7 @@ class InvertedIndex(ProductIndex):
 
     def __init__(self, spark: SparkSession, dim: int, nlist: int = 64, M: int = 16, K: int = 256, *, seed: int = 0, normalized: bool = False, use_rht: bool = False, use_opq: bool = False, keep_full: bool = False) -> None:
         if nlist < 2:
-            raise ValueError(f"nlist must be >= 2; got {nlist}")
+            raise ValueError(f"nlist is {nlist}; there are 2 clusters at least")
         super().__init__(spark, dim, M, K, seed=seed, normalized=normalized, use_rht=use_rht, use_opq=use_opq)
         self.nlist, self.keep_full = nlist, keep_full
         self.default_nprobe = max(1, nlist // 16)
@@ -179,9 +199,9 @@ class InvertedIndex(ProductIndex):
 
     def _train(self, x: np.ndarray, iterations: int) -> None:
         if len(x) < ROWS_PER_CLUSTER * self.nlist:
-            warnings.warn(f"{len(x)} training rows for {self.nlist} clusters: fewer than {ROWS_PER_CLUSTER} each", UserWarning, stacklevel=3)
+            warnings.warn(f"{len(x)} training rows for {self.nlist} clusters: fewer than {ROWS_PER_CLUSTER} each", UserWarning, stacklevel=4)
         self.centers = kmeans(x, self.nlist, iterations, self.seed)
-        self.books = train_books(x - self.centers[kernels.nearest(x, self.centers)], self.M, self.K, iterations, self.seed + 1000)
+        self.books = train_books(x - self.centers[kernels.nearest(x, self.centers)], self.M, self.K, iterations, self.seed + 1000, self.spark)
 
     def _encoder(self) -> Callable[[np.ndarray], dict[str, pa.Array]]:
         preprocess, books, centers, normalized, full = self._preprocess(), self.books, self.centers, self.normalized, self.keep_full
@@ -208,28 +228,32 @@ class InvertedIndex(ProductIndex):
         order = np.argsort(-near[:, use], axis=1, kind="stable")[:, :nprobe]
         return use[order]
 
-    def _probing(self, query: np.ndarray, probes: np.ndarray, inner: Callable[[pa.RecordBatch], np.ndarray]) -> Scorer:
-        """A scorer that leaves out, for each query, the rows of clusters that it doesn't probe."""
-        open_to = np.zeros((self.nlist, len(query)), bool)
-        open_to[probes.ravel(), np.repeat(np.arange(len(query)), probes.shape[1])] = True
-
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            at = batch.column("cluster_id").to_numpy(zero_copy_only=False)
-            return np.where(open_to[at], inner(batch), -np.inf)
+    def _probing(self, q: np.ndarray, probes: np.ndarray) -> Scorer:
+        """Scores of the rows of each cluster for the queries that probe it, and no others: rows lie together by cluster."""
+        query, m, normalized = self._query(q), self.M, self.normalized
+        scores, coarse = CodeScores(query, self.books), self.centers @ query.T
+        by_cluster = np.argsort(probes.ravel(), kind="stable")
+        clusters, start = np.unique(probes.ravel()[by_cluster], return_index=True)
+        asking = dict(zip(clusters.tolist(), np.split(by_cluster // probes.shape[1], start[1:]), strict=True))
+
+        def score(batch: pa.RecordBatch) -> Iterator[Scored]:
+            cluster = batch.column("cluster_id").to_numpy(zero_copy_only=False)
+            codes, norm = kernels.bytes_of(batch.column("codes"), m), batch.column("norm").to_numpy(zero_copy_only=False)
+            for c in np.unique(cluster).tolist():
+                if c in asking:
+                    at, which = np.flatnonzero(cluster == c), asking[c]
+                    out = scores(codes[at], which) + coarse[c, which]
+                    yield at, which, out if normalized else out * norm[at][:, None]
 
         return score
 
-    def _scorer(self, q: np.ndarray, exact: bool = False, **options: Any) -> Scorer:
-        query, m, normalized, pdim = self._query(q), self.M, self.normalized, self.pdim
-        tables, coarse = kernels.product_tables(query, self.books), self.centers @ query.T
+    def _pairwise(self, q: np.ndarray) -> Pairwise:
+        query, pdim, normalized = self._query(q), self.pdim, self.normalized
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            if exact:
-                out = kernels.bytes_of(batch.column("full"), 2 * pdim).view(np.float16).astype(np.float64) @ query.T
-            else:
-                at = batch.column("cluster_id").to_numpy(zero_copy_only=False)
-                out = kernels.product_scores(kernels.bytes_of(batch.column("codes"), m), tables) + coarse[at]
-            return out if normalized else out * batch.column("norm").to_numpy(zero_copy_only=False)[:, None]
+        def score(batch: pa.RecordBatch, own: np.ndarray) -> np.ndarray:
+            full = kernels.bytes_of(batch.column("full"), 2 * pdim).view(np.float16).astype(np.float64)
+            out = np.einsum("rd,rd->r", full, query[own])
+            return out if normalized else out * batch.column("norm").to_numpy(zero_copy_only=False)
 
         return score
 
@@ -239,11 +263,11 @@ class InvertedIndex(ProductIndex):
             raise TypeError(f"unknown options: {', '.join(unknown)}")
         nprobe, pool, threads = options.get("nprobe"), options.get("rerank_candidates"), options.get("num_threads")
         if nprobe is not None and not 1 <= nprobe <= self.nlist:
-            raise ValueError(f"nprobe must be in 1..{self.nlist}; got {nprobe}")
+            raise ValueError(f"nprobe is {nprobe}; 1 to {self.nlist} clusters can be probed")
         if pool is not None and (pool < 1 or not self.keep_full):
-            raise ValueError("rerank_candidates must be >= 1, and needs keep_full=True")
+            raise ValueError("rerank_candidates needs an index with keep_full, and 1 candidate at least")
         if threads is not None and threads < 1:
-            raise ValueError(f"num_threads must be >= 1; got {threads}")
+            raise ValueError(f"num_threads is {threads}; it must be 1 at least")
 
     def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
         rows, allowed = self._filtered(filter_ids), None
@@ -255,12 +279,12 @@ class InvertedIndex(ProductIndex):
         # literal partition values: the scan lists and reads the probed clusters alone
         rows = rows.where(F.col("cluster_id").isin(np.unique(probes).tolist()))
         pool = options.get("rerank_candidates")
-        scorer = self._probing(q, probes, self._scorer(q))
+        scorer = self._probing(q, probes)
         if pool is None:
             return ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, k, scorer), k)
         pool = max(pool, k)
         found = ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, pool, scorer), pool)
-        return self._rescored(rows.select("id", "full", "norm"), found, pool * len(ids), ids, self._scorer(q, exact=True), k)
+        return self._rescored(rows.select("id", "full", "norm"), found, pool * len(ids), ids, self._pairwise(q), k)
 
     def cluster_sizes(self) -> DataFrame:
         """(cluster_id, n, start) of every cluster, empty ones too: start is the rows in the clusters before."""

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.codebooks import get_codebook, half_centroids, projection, residual_scale
-from .index import Scorer, VectorIndex
-from .topk import ranked, scan
+from .index import Matrix, Pairwise, VectorIndex
+from .topk import every, ranked, scan
 
 
 def _width(pdim: int, bits: int) -> int:
@@ -32,9 +32,9 @@ class ScalarIndex(VectorIndex):
 
     def __init__(self, spark: SparkSession, dim: int, bits: int = 4, *, seed: int = 0, use_prod: bool = False, chunk_size: int | None = None, normalized: bool = False) -> None:
         if bits not in (2, 3, 4):
-            raise ValueError(f"bits must be 2, 3 or 4; got {bits}")
+            raise ValueError(f"{bits} bits a coordinate aren't supported; 2, 3 and 4 are")
         if use_prod and bits < 3:
-            raise ValueError(f"use_prod needs at least 3 bits; got {bits}")
+            raise ValueError(f"use_prod takes one of the bits, and {bits} leave too few; use 3 or 4")
         super().__init__(spark, dim, seed=seed, normalized=normalized)
         self.bits, self.use_prod, self.chunk_size = bits, use_prod, chunk_size
         self.code_bits = bits - 1 if use_prod else bits
@@ -59,7 +59,7 @@ class ScalarIndex(VectorIndex):
 
         return encode
 
-    def _scorer(self, q: np.ndarray, **options: Any) -> Scorer:
+    def _scorer(self, q: np.ndarray, **options: Any) -> Matrix:
         bits, pdim, width = self.code_bits, self.pdim, _width(self.pdim, self.code_bits)
         turned = kernels.rht(kernels.pad(q), self.seed)
         scaled = turned * math.sqrt(pdim)
@@ -91,7 +91,7 @@ class ResidualIndex(VectorIndex):
 
     def __init__(self, spark: SparkSession, dim: int, b1: int = 3, b2: int = 3, *, seed: int = 0, normalized: bool = False) -> None:
         if b1 not in (2, 3, 4) or b2 not in (2, 3, 4):
-            raise ValueError(f"b1 and b2 must be 2, 3 or 4; got {b1} and {b2}")
+            raise ValueError(f"stages of {b1} and {b2} bits aren't supported; 2, 3 and 4 are")
         super().__init__(spark, dim, seed=seed, normalized=normalized)
         self.b1, self.b2 = b1, b2
 
@@ -109,33 +109,44 @@ class ResidualIndex(VectorIndex):
 
         return encode
 
-    def _scorer(self, q: np.ndarray, coarse: bool = False, **options: Any) -> Scorer:
+    def _decoder(self, coarse: bool = False) -> Callable[[pa.RecordBatch], np.ndarray]:
+        """What both stages (or the first alone) stand for, times the norm where it counts."""
         pdim, normalized = self.pdim, self.normalized
         c1, c2, scale = get_codebook(self.b1)[0], get_codebook(self.b2)[0], residual_scale(self.b1)
-        scaled = kernels.rht(kernels.pad(q), self.seed) * math.sqrt(pdim)
 
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            x = c1[kernels.bytes_of(batch.column("codes1"), pdim)]
+        def decode(batch: pa.RecordBatch) -> np.ndarray:
+            x = c1[kernels.bytes_of(batch.column("codes1"), pdim)] / pdim
             if coarse:
-                return x @ scaled.T / pdim
-            out = (x + scale * c2[kernels.bytes_of(batch.column("codes2"), pdim)]) @ scaled.T / pdim
-            return out if normalized else out * batch.column("norm").to_numpy(zero_copy_only=False)[:, None]
+                return x
+            x += scale / pdim * c2[kernels.bytes_of(batch.column("codes2"), pdim)]
+            return x if normalized else x * batch.column("norm").to_numpy(zero_copy_only=False)[:, None]
 
-        return score
+        return decode
+
+    def _asked(self, q: np.ndarray) -> np.ndarray:
+        return kernels.rht(kernels.pad(q), self.seed) * math.sqrt(self.pdim)
+
+    def _scorer(self, q: np.ndarray, coarse: bool = False, **options: Any) -> Matrix:
+        decode, asked = self._decoder(coarse), self._asked(q)
+        return lambda batch: decode(batch) @ asked.T
+
+    def _pairwise(self, q: np.ndarray) -> Pairwise:
+        decode, asked = self._decoder(), self._asked(q)
+        return lambda batch, own: np.einsum("rd,rd->r", decode(batch), asked[own])
 
     def _check_options(self, k: int, options: dict[str, Any]) -> None:
         m = options.get("rerank_M")
         if set(options) - {"rerank_M"}:
             raise TypeError(f"unknown options: {', '.join(set(options) - {'rerank_M'})}")
         if m is not None and m < k:
-            raise ValueError(f"rerank_M must be >= k; got {m} and {k}")
+            raise ValueError(f"rerank_M ({m}) can't be less than k ({k})")
 
     def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
         m = options.get("rerank_M")
         if m is None:
             return super()._search_block(ids, query_type, q, k, filter_ids, {})
-        pool = ranked(scan(self._filtered(filter_ids).select("id", "codes1"), ids, query_type, m, self._scorer(q, coarse=True)), m)
-        return self._rescored(self.rows, pool, m * len(ids), ids, self._scorer(q), k)
+        pool = ranked(scan(self._filtered(filter_ids).select("id", "codes1"), ids, query_type, m, every(self._scorer(q, coarse=True))), m)
+        return self._rescored(self.rows, pool, m * len(ids), ids, self._pairwise(q), k)
 
     def bytes_per_vector(self) -> int:
         return 2 * self.pdim + (0 if self.normalized else 4)

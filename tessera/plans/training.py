@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 
 #: Rows that models are trained on at most: a sample by a hash of the id. Everything is encoded, whatever was sampled.
 TRAIN_ROWS = 65_536
+#: Numbers of a sample below which the driver trains all subspaces itself: tasks would cost more than they save.
+SMALL_SAMPLE = 1_000_000
 
 
 def training_sample(vectors: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -38,15 +40,21 @@ def seed_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int = 15, seed: int = 0) -> np.ndarray:
-    """Lloyd's algorithm; empty clusters move to the rows furthest from their centers, each to another one."""
-    c = seed_centers(x, k, np.random.default_rng(seed))
+    """Lloyd's algorithm from k-means++ centers."""
+    return lloyd(x, seed_centers(x, k, np.random.default_rng(seed)), iterations)
+
+
+def lloyd(x: np.ndarray, c: np.ndarray, iterations: int) -> np.ndarray:
+    """Means of the rows nearest to each center, again and again; empty clusters move to the rows furthest from their
+    centers, each to another one."""
+    k = len(c)
     for _ in range(iterations):
         near = kernels.nearest(x, c)
         size = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        new = sums / np.maximum(size, 1)[:, None]
-        empty = np.flatnonzero(size == 0)
+        some, empty = np.flatnonzero(size), np.flatnonzero(size == 0)
+        order = np.argsort(near, kind="stable")
+        new = np.zeros_like(c)
+        new[some] = np.add.reduceat(x[order], (np.cumsum(size) - size)[some]) / size[some][:, None]
         if len(empty):
             far = np.argsort(-((x - c[near]) ** 2).sum(1), kind="stable")
             new[empty] = x[far[np.arange(len(empty)) % len(x)]]
@@ -57,9 +65,24 @@ def kmeans(x: np.ndarray, k: int, iterations: int = 15, seed: int = 0) -> np.nda
     return c
 
 
-def train_books(x: np.ndarray, m: int, k: int, iterations: int, seed: int) -> np.ndarray:
-    """A codebook for each of m subspaces, (m, k, width); subspace j takes seed + j."""
-    return np.stack([kmeans(part, k, iterations, seed + j) for j, part in enumerate(np.split(x, m, axis=1))])
+def train_books(x: np.ndarray, m: int, k: int, iterations: int, seed: int, spark: SparkSession | None = None) -> np.ndarray:
+    """A codebook for each of m subspaces, (m, k, width); subspace j takes seed + j.
+
+    With a session a task trains a subspace: it is sent that part of the sample alone.
+    """
+    parts = np.split(np.ascontiguousarray(x, np.float64), m, axis=1)
+    if spark is None or m == 1 or x.size < SMALL_SAMPLE:
+        return np.stack([kmeans(part, k, iterations, seed + j) for j, part in enumerate(parts)])
+    n, width = parts[0].shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            books = [kmeans(np.frombuffer(b.as_py()).reshape(n, width), k, iterations, seed + j) for j, b in zip(batch.column("j").to_pylist(), batch.column("part"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("j"), pa.array([b.tobytes() for b in books], pa.binary())], names=["j", "book"])
+
+    table = spark.sparkContext.parallelize([(j, bytearray(p.tobytes())) for j, p in enumerate(parts)], m).toDF("j long, part binary")
+    found = sorted(table.mapInArrow(run, "j long, book binary").collect())
+    return np.stack([np.frombuffer(r.book).reshape(k, width) for r in found])
 
 
 def gramian(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

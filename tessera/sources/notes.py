@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,31 +49,36 @@ def body_and_tags(text: Column) -> tuple[Column, Column]:
     return body, F.array_distinct(F.concat(tags, hashtags(body)))
 
 
-def chunks(text: Column, target_chars: int = 1500, min_chars: int = 200) -> Column:
+#: What stands between paragraphs; white space as Unicode has it.
+BETWEEN = re.compile(r"\n\s*\n")
+
+
+def chunk(text: str, target_chars: int = 1500, min_chars: int = 200) -> list[str]:
     """Paragraphs packed into chunks in order: a chunk takes paragraphs (each counting two more than its length) while
     the next fits target_chars; a last chunk under min_chars joins the one before."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["n"] + F.length(p) > target_chars) & (acc["n"] > 0)
-        more = F.when(acc["n"] > 0, F.concat(acc["now"], F.lit("\n\n"), p)).otherwise(p)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, p).otherwise(more).alias("now"),
-            (F.when(full, F.lit(0)).otherwise(acc["n"]) + F.length(p) + 2).alias("n"),
-        )
-
-    def finish(acc: Column) -> Column:
-        count = F.size(acc["done"])
-        joined = F.concat(F.slice(acc["done"], 1, F.greatest(count - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["done"], -1), F.lit("\n\n"), acc["now"])))
-        return (
-            F.when(acc["n"] == 0, acc["done"])
-            .when((F.length(acc["now"]) < min_chars) & (count > 0), joined)
-            .otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        )
-
-    return F.aggregate(paragraphs, start, step, finish)
+    out: list[list[str]] = []
+    size = 0
+    for p in filter(None, map(str.strip, BETWEEN.split(text))):
+        if not out or size + len(p) > target_chars:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += len(p) + 2
+    joined = ["\n\n".join(ps) for ps in out]
+    if len(joined) > 1 and len(joined[-1]) < min_chars:
+        last = joined.pop()
+        joined[-1] += "\n\n" + last
+    return joined
+
+
+def chunks(text: Column, target_chars: int = 1500, min_chars: int = 200) -> Column:
+    """chunk() of a column, in Arrow batches: one pass over each note, however long. Null has no chunks."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunk(t or "", target_chars, min_chars))
+
+    return run(text)
 
 
 def note_chunks(files: DataFrame, target_chars: int = 1500, min_chars: int = 200) -> DataFrame:

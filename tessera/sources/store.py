@@ -1,10 +1,13 @@
-"""Saving and loading an index: Parquet rows and models beside a manifest, published by a rename, checked by a digest."""
+"""Saving and loading an index: versions of Parquet rows, models and a manifest, and a pointer to the one that counts.
+
+    path/CURRENT        the name of a version; replaced by one atomic rename
+    path/v-.../         manifest, data, model
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
-from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +28,39 @@ def digest(rows: DataFrame) -> str:
     return f"{r.n}-{r.x & (2**64 - 1):016x}-{r.s}"
 
 
-def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+POINTER = "CURRENT"
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Let the pointer name a version: readers find the old name or the new one, and both versions are there."""
+    fs, p = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Path
+    context = fs.FileContext.getFileContext(p(path).toUri(), spark._jsc.hadoopConfiguration())
+    beside = p(f"{path}/{POINTER}.{version}")
+    out = p(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    overwrite[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context.rename(beside, p(f"{path}/{POINTER}"), overwrite)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that counts; None without an index."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return f"{path.rstrip('/')}/{spark.read.text(p.toString(), wholetext=True).first().value.strip()}"
 
 
 def save(index: VectorIndex, path: str) -> None:
-    """Write the index beside `path`, then rename: readers see the old one or the new one."""
-    spark = index.spark
-    staging = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+    """Write a version of the index below `path`, then point to it. Readers see the old version or the new one.
+
+    Versions before the last are deleted; the last stays for those who are reading it.
+    """
+    spark, path = index.spark, path.rstrip("/")
+    before = current(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    staging = f"{path}/{version}"
     rows = index.rows
     if rows is not None:
         writer = rows.write
@@ -46,21 +73,21 @@ def save(index: VectorIndex, path: str) -> None:
         "digest": digest(spark.read.parquet(f"{staging}/data")) if rows is not None else None,
     }
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
-    fs, target = _fs(spark, path)
-    _, new = _fs(spark, staging)
-    old = None
-    if fs.exists(target):
-        _, old = _fs(spark, f"{staging}.old")
-        fs.rename(target, old)
-    if not fs.rename(new, target):
-        raise OSError(f"can't publish {path}")
-    if old is not None:
-        fs.delete(old, True)
+    _point(spark, path, version)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name != version and not (before or "").endswith(name):
+            fs.delete(f.getPath(), True)
 
 
 def load(spark: SparkSession, path: str, *, verify: bool = True) -> VectorIndex:
     """The index at `path`. A newer format, or rows that don't match the digest, raise ValueError."""
-    path = path.rstrip("/")
+    found = current(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no index at {path}")
+    path = found
     manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
     if manifest["format"] > FORMAT:
         raise ValueError(f"format {manifest['format']} is newer than {FORMAT}; upgrade the package")

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.index import VectorIndex
+from ..operators.index import VectorIndex, changes, sized
 
 
 def encoded_stream(index: VectorIndex, vectors: DataFrame) -> DataFrame:
@@ -20,17 +20,20 @@ def ingest(index: VectorIndex, vectors: DataFrame, checkpoint: str, **trigger: A
     """Add a stream's micro-batches to an index; returns the running query.
 
     Ids that are in the index already, or come twice in a batch, are left out: a batch that is run again after a failure
-    adds nothing twice, and no state grows with the stream.
+    adds nothing twice, and no state grows with the stream. The batch's ids go to the index's rows, not the other way.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
+    @changes
+    def ingest(index: VectorIndex, batch: DataFrame) -> None:
+        index._ready("ingest")
         new = batch.select("id", "embedding").dropDuplicates(["id"])
-        if index.segments:
-            new = new.join(index.rows.select("id"), "id", "left_anti")
         new = new.where(F.col("embedding").isNotNull() & (F.size("embedding") == index.dim) & F.col("id").isNotNull())
-        index._check_not_frozen("ingest")
-        index._ready("ingest")
+        if index.segments:
+            new = new.join(sized(index.known(new)), "id", "left_anti")
         if not new.isEmpty():
             index._append(index.encoded(new))
 
+    def add(batch: DataFrame, _: int) -> None:
+        ingest(index, batch)
+
     return vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -130,7 +130,7 @@ def test_filter_delete_and_edges(spark, kind):
     assert {i for i, _ in some} <= {1, 3, 7} and len(some) in (1, 2, 3)
     assert index.search(q, 5, filter_ids=[]) == index.search(q, 5, filter_ids=[12345]) == []
     assert index.search(np.zeros(32), 5) == []
-    with pytest.raises(ValueError, match="k must"):
+    with pytest.raises(ValueError, match="k is 0"):
         index.search(q, 0)
     assert index.delete(3) and not index.delete(3) and len(index) == 119
     assert 3 not in {i for i, _ in index.search(q, 200)}
@@ -148,6 +148,55 @@ def test_filter_delete_and_edges(spark, kind):
     assert len(index.segments) == 1 and len(index) == 120
 
 
+def test_segments_without_the_ids_are_left_alone(spark):
+    index = ScalarIndex(spark, 16)
+    for part in range(3):
+        index.add_batch(list(range(10 * part, 10 * part + 10)), gaussian(10, 16, part))
+    before = list(index.segments)
+    late = index.rows  # planned before, read after
+    assert index.delete(11, 12, 999) and index.segments[:2] == [before[0], before[2]] and len(index) == 28
+    assert late.count() == 30
+    index.vacuum()
+    from pathlib import Path
+
+    assert [Path(p.removeprefix("file:")).exists() for p in before] == [True, False, True] and len(index) == 28
+    assert sorted(r.id for r in index.conflicts(spark.createDataFrame([(5, None), (11, None), (77, None), (77, None)], "id long, embedding array<float>")).collect()) == [5, 77]
+
+
+def test_many_queries_and_few_are_scored_alike(spark):
+    x = clustered(300, 32, 6, 8)
+    for kind in ("product", "inverted"):
+        index = made(spark, kind, x)
+        options = {"nprobe": 2} if kind == "inverted" else {}
+        many = {}
+        for r in index.search_batch(frame(spark, x[:40], "query_id"), 5, **options).collect():
+            many.setdefault(r.query_id, []).append((r.id, round(r.score, 9)))
+        for j in (0, 17, 39):
+            few = [(i, round(s, 9)) for i, s in index.search(x[j], 5, **options)]
+            assert few == many[j]
+
+
+def test_subspaces_are_trained_alike_in_tasks_and_on_the_driver(spark, monkeypatch):
+    x = clustered(400, 24, 5, 3)
+    here = training.train_books(x, 6, 8, 10, 3)
+    monkeypatch.setattr(training, "SMALL_SAMPLE", 0)
+    assert np.array_equal(training.train_books(x, 6, 8, 10, 3, spark), here)
+
+
+def test_equal_indexes_have_equal_digests(spark, tmp_path):
+    """Building and saving twice gives the same rows, models and numbers."""
+    import json
+
+    x = clustered(200, 32, 5, 8)
+    for kind in KINDS:
+        found = []
+        for k in range(2):
+            store.save(made(spark, kind, x), f"file://{tmp_path}/{kind}{k}")
+            at = store.current(spark, f"file://{tmp_path}/{kind}{k}")
+            found.append(json.loads(spark.read.text(f"{at}/manifest").first().value))
+        assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_freeze(spark, kind):
     index = made(spark, kind, clustered(100, 32, 5, 8))
@@ -169,7 +218,12 @@ def test_save_and_load(spark, kind, tmp_path):
     q = frame(spark, x[:3], "query_id")
     want = hits(index.search_batch(q, 5))
     store.save(index, f"file://{tmp_path}/saved")
-    store.save(index, f"file://{tmp_path}/saved")  # takes the place of the first
+    first = store.current(spark, f"file://{tmp_path}/saved")
+    reader = store.load(spark, f"file://{tmp_path}/saved")
+    store.save(index, f"file://{tmp_path}/saved")  # takes the place of the first, which those who read it still have
+    assert store.current(spark, f"file://{tmp_path}/saved") != first and hits(reader.search_batch(q, 5)) == want
+    store.save(index, f"file://{tmp_path}/saved")
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "saved").iterdir()) == 2
     again = store.load(spark, f"file://{tmp_path}/saved")
     assert hits(again.search_batch(q, 5)) == want and again.config() == index.config()
     binary.write_binary(index, f"{tmp_path}/one.file")
@@ -185,8 +239,8 @@ def test_save_and_load(spark, kind, tmp_path):
 
 def test_damaged_rows_are_found(spark, tmp_path):
     store.save(made(spark, "scalar", gaussian(20, 16, 1)), f"file://{tmp_path}/s")
-    extra = spark.read.parquet(f"{tmp_path}/s/data").limit(1)
-    extra.write.mode("append").parquet(f"{tmp_path}/s/data")
+    data = f"{store.current(spark, f'file://{tmp_path}/s')}/data"
+    spark.read.parquet(data).limit(1).write.mode("append").parquet(data)
     with pytest.raises(ValueError, match="digest"):
         store.load(spark, f"file://{tmp_path}/s")
 
@@ -210,16 +264,12 @@ def test_binary_files_of_other_ages(spark, tmp_path):
     assert (kernels.unpack(np.array([list(r.codes) for r in rows], np.uint8), 3, 8) == codes).all()
 
 
-def test_checksum_writer(tmp_path):
-    with open(tmp_path / "f", "wb") as f:
-        w = binary.ChecksumWriter(f)
-        w.write(b"abc")
-        w.finalise()
-        w.finalise()
-        with pytest.raises(ValueError, match="finalise"):
-            w.write(b"d")
-    raw = (tmp_path / "f").read_bytes()
+def test_sealed_files(tmp_path):
+    raw = b"".join(binary.sealed([b"ab", b"", b"c"]))
     assert raw == b"abc" + binary.TRAILER + struct.pack("<I", zlib.crc32(b"abc")) and binary.verify_checksum(raw) == b"abc"
+    assert b"".join(binary.sealed([])) == binary.TRAILER + bytes(4)
+    binary.write_atomic(f"{tmp_path}/f", [b"ab", b"c"])
+    assert (tmp_path / "f").read_bytes() == raw and [p.name for p in tmp_path.iterdir()] == ["f"]
 
 
 def test_guards(spark):
