@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.exprs import BLANKS
 from ..functions.codebooks import get_codebook, half_centroids, projection, residual_scale
-from .queries import CUT, DIM, K, M, NLIST, NPROBE, POOL, SEED, TOP, sign_rows
+from .queries import CUT, DIM, INVARIANTS, K, M, NLIST, NPROBE, POOL, SEED, TOP, sign_rows
 
 W = DIM // M
 
@@ -109,9 +110,9 @@ def _table_score(q: str, row: str) -> str:
     return f"list_sum(list_transform(range({M}), lambda j: list_inner_product({_part(q, 'j')}, {_part(f'{row}.b[{row}.c[j + 1] + 1]', 'j')})))"
 
 
-def _product_search(prepared: str, scaled: bool = True, dim: int = DIM) -> str:
+def _product_search(prepared: str, scaled: bool = True, dim: int = DIM, where: str = "true") -> str:
     head = f"WITH {_base(scaled, dim)}{_turned(dim)}, ready AS (SELECT id, n, {prepared} AS x FROM turned), books AS (SELECT list(x ORDER BY id) AS b FROM ready WHERE id < {K})"
-    return head + _coded("ready") + _top(f"SELECT q.id AS query_id, c.id, {_table_score('q.x', 'c')} * c.n AS score FROM ready q, coded c WHERE q.id % 100 = 0")
+    return head + _coded("ready") + _top(f"SELECT q.id AS query_id, c.id, {_table_score('q.x', 'c')} * c.n AS score FROM ready q, coded c WHERE q.id % 100 = 0 AND {where}")
 
 
 def _inverted(scaled: bool = True) -> str:
@@ -141,6 +142,83 @@ def _half(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x} / {step}, 0) * {step} END"
 
 
+def _asked() -> str:
+    """asked: the queries, which are units of units in single precision."""
+    return """,
+  single AS (SELECT id, list_transform(u, lambda y: y::FLOAT::DOUBLE) AS x FROM unit),
+  asked AS (SELECT id, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS u FROM single WHERE id % 100 = 0)"""
+
+
+def _binary_residual() -> str:
+    """Two stages of single-precision units, and no norms."""
+    turn = lambda p: f"list_transform(m, lambda r: list_inner_product(r, {p}))"
+    scale = residual_scale(3)
+    rows = ", ".join("[" + ", ".join(map(str, r)) + "]" for r in sign_rows())
+    return f"""WITH {_base()}{_asked()}, m AS (SELECT [{rows}]::DOUBLE[][] AS m),
+  turned AS (SELECT id, {turn('x')} AS y FROM single, m),
+  one AS (SELECT *, {_encode('y', 3)} AS c1 FROM turned),
+  two AS (SELECT *, list_transform(list_zip(y, {_decode('c1', get_codebook(3)[0])}), lambda p: (p[1] - p[2]) / {scale!r}) AS r FROM one),
+  coded AS (SELECT *, {_encode('r', 3)} AS c2 FROM two),
+  stored AS (SELECT id, {_decode('c1', get_codebook(3)[0])} AS x1, {_decode('c2', get_codebook(3)[0])} AS x2 FROM coded),
+  q AS (SELECT id, {turn('u')} AS y FROM asked, m)""" + _top(
+        f"SELECT q.id AS query_id, c.id, (list_inner_product(c.x1, q.y) + {scale!r} * list_inner_product(c.x2, q.y)) / {DIM} AS score FROM q, stored c"
+    )
+
+
+def _binary_product() -> str:
+    """Codes, books and queries as a file and single-precision units make them."""
+    head = f"WITH {_base()}{_asked()}, books AS (SELECT list(x ORDER BY id) AS b FROM single WHERE id < {K})" + _coded("single")
+    return head + _top(f"SELECT q.id AS query_id, c.id, {_table_score('q.u', 'c')} AS score FROM asked q, coded c")
+
+
+def _binary_inverted() -> str:
+    near = "list_transform(cs, lambda c: list_distance(x, c))"
+    double = "list_transform(cds, lambda c: list_distance(u, c))"
+    value = "round(2 * list_inner_product(q.u, cs[k + 1]) - list_inner_product(cs[k + 1], cs[k + 1]), 12)"
+    minus = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda p: p[1] - p[2])"
+    head = f"""WITH {_base()}{_asked()},
+  centers AS (SELECT list(x ORDER BY id) AS cs FROM single WHERE id < {NLIST}),
+  doubles AS (SELECT list(u ORDER BY id) AS cds FROM unit WHERE id < {NLIST}),
+  books AS (SELECT list(list_transform(r, lambda y: y::FLOAT::DOUBLE) ORDER BY id) AS b FROM (
+    SELECT id, {minus('u', 'cds[list_position(d, list_min(d))]')} AS r FROM (SELECT *, {double} AS d FROM unit, doubles WHERE id >= {NLIST} AND id < {NLIST + K}))),
+  rest AS (SELECT id, cs, cluster_id, {minus('x', 'cs[cluster_id + 1]')} AS x FROM (SELECT *, list_position(d, list_min(d)) - 1 AS cluster_id FROM (SELECT *, {near} AS d FROM single, centers))),
+  probes AS (SELECT q.id AS query_id, k AS cluster_id, q.u FROM asked q, centers, range({NLIST}) r(k) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {value} DESC, k) <= {NPROBE})"""
+    return head + _coded("rest") + _top(f"SELECT p.query_id, c.id, list_inner_product(p.u, c.cs[c.cluster_id + 1]) + {_table_score('p.u', 'c')} AS score FROM probes p JOIN coded c ON p.cluster_id = c.cluster_id")
+
+
+#: Steps of the life of an index, and what each comes to.
+LIFE = (
+    ("repr", "ScalarIndex(bits=2, seed=0, use_prod=False, normalized=False)"), ("search", "3"), ("frozen", "True"), ("frozen search", "3"), ("frozen add", "RuntimeError"), ("frozen delete", "RuntimeError"),
+    ("frozen compact", "RuntimeError"), ("frozen close", "RuntimeError"), ("unfreeze", "None"), ("add", "None"), ("length", "1"), ("add a known id", "ValueError"), ("delete", "True"), ("delete again", "False"),
+    ("length after", "0"), ("close", "None"), ("search before fit", "RuntimeError"), ("fit with few rows", "ValueError"), ("fit", "None"), ("fit again", "RuntimeError"), ("5 bits", "ValueError"),
+    ("correction of 2 bits", "ValueError"), ("stage of 1 bit", "ValueError"), ("1 centroid", "ValueError"), ("257 centroids", "ValueError"), ("7 subspaces", "ValueError"), ("two rotations", "ValueError"),
+    ("1 cluster", "ValueError"), ("k of 0", "ValueError"), ("short vector", "ValueError"), ("not a number", "ValueError"), ("unknown option", "TypeError"), ("pool under k", "ValueError"),
+    ("no such cluster", "ValueError"), ("rerank without vectors", "ValueError"),
+)
+
+
+def _front_matter() -> str:
+    return """
+WITH d AS (SELECT doc_id, lang, source, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) || ' #after #after' AS body,
+  CASE doc_id % 3 WHEN 0 THEN [lang, 'two words', source] WHEN 1 THEN [source, lang] ELSE []::VARCHAR[] END AS front FROM documents),
+t AS (SELECT *, list_concat(front, regexp_extract_all(body, '(^|[^\\w/])#([a-zA-Z][a-zA-Z0-9_\\-/]*)', 2)) AS ts FROM d)
+SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(ts, range(1, len(ts) + 1)), lambda p: list_position(ts, p[1]) = p[2]), lambda p: p[1]), ',') AS tags,
+  sha256(body) AS body_sha256 FROM t"""
+
+
+def _embedded_chunks() -> str:
+    counts = ", ".join(f"(length(chunk) - length(replace(chunk, '{c}', '')))::BIGINT AS n_{c}" for c in "ent")
+    return _chunks().replace("SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, length(chunk)::BIGINT AS n_chars, sha256(chunk) AS chunk_sha256", f"SELECT doc_id || '#' || chunk_idx AS id, {counts}")
+
+
+def _notes_search() -> str:
+    found = _scalar_search(4, "c.label % 3 = 1")
+    cut = found.index("\nSELECT query_id, rank")
+    return f"""{found[:cut]}, found AS ({found[cut:]})
+SELECT rank, f.id::VARCHAR AS id, score, 'folder/n' || f.id || '.md' AS path, f.id % 4 AS chunk_idx, 't1,all' AS tags, 'note ' || f.id || ' of label ' || label AS snippet
+FROM found f JOIN unit u ON f.id = u.id WHERE query_id = 0"""
+
+
 def _chunks() -> str:
     start = "{'done': []::VARCHAR[], 'now': '', 'n': 0}"
     full = "acc.n + length(p) > 1500 AND acc.n > 0"
@@ -222,7 +300,23 @@ ORACLE_SQL: dict[str, str] = {
   half AS (SELECT id, n, u, list_transform(u, lambda x: {_half('x')}) AS h FROM unit)"""
     + _top("SELECT p.query_id, p.id, list_inner_product(h.h::DOUBLE[], q.u) * h.n AS score FROM pool p JOIN half h ON p.id = h.id JOIN half q ON q.id = p.query_id"),
     "delete_anti": "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 0",
-    "duplicate_ids": "SELECT id, count(*) AS n FROM (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 10 = 3) GROUP BY id HAVING count(*) > 1",
+    "delete_pq_search": _product_search("u", where="c.id % 7 <> 0"),
+    "delete_ivf_search": _inverted() + _probes() + _coded("rest") + _top(_inverted_scores("c.id % 7 <> 0")),
+    "duplicate_ids": "SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 IN (3, 7)",
+    "add_twice_search": _scalar_search(4),
+    "zero_queries": _scalar_search(4, "q.id % 200 = 0"),
+    "binary_scalar_search": _scalar_search(3),
+    "binary_residual_search": _binary_residual(),
+    "binary_product_search": _binary_product(),
+    "binary_inverted_search": _binary_inverted(),
+    "streaming_ingest": _scalar_search(4),
+    "lifecycle": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}')" for i, (a, b) in enumerate(LIFE)) + ") t(step, what, outcome)",
+    "fit_centers": f"WITH {_base()}, first AS (SELECT * FROM unit WHERE id < {NLIST}) " + _each("first", "u"),
+    "fit_invariants": "SELECT * FROM (VALUES " + ", ".join(f"('{x}', true)" for x in INVARIANTS) + ") t(invariant, holds)",
+    "ivf_stats": _inverted(False)
+    + f""", sizes AS (SELECT k, count(id) AS n FROM range({NLIST}) r(k) LEFT JOIN assigned ON cluster_id = k GROUP BY k)
+SELECT sum(n)::BIGINT AS n, {DIM}::BIGINT AS dim, {M + 4}::BIGINT AS bytes_per_vector, min(n) AS cluster_min, floor(median(n))::BIGINT AS cluster_median, max(n) AS cluster_max,
+  greatest(1, {NLIST} // 16)::BIGINT AS default_nprobe, {NLIST}::BIGINT AS nlist, {M}::BIGINT AS "M", {K}::BIGINT AS "K" FROM sizes""",
     "index_stats": """SELECT b::BIGINT AS bits, (SELECT count(*) FROM embeddings) AS n, 64::BIGINT AS dim, (8 * b + 4)::BIGINT AS bytes_per_vector,
   round(256 / (8 * b + 4), 6) AS compression_ratio FROM range(2, 5) r(b)""",
     "recall_at_10": _recall(),
@@ -230,5 +324,11 @@ ORACLE_SQL: dict[str, str] = {
     "hashtags": """SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda p: list_position(t, p[1]) = p[2]), lambda p: p[1]), ',') AS tags
   FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)) || ' #' || lang || ' #' || source || ' #' || lang, '(^|[^\\w/])#([a-zA-Z][a-zA-Z0-9_\\-/]*)', 2) AS t FROM documents)""",
     "tag_filter_search": _scalar_search(4, "c.label % 3 IN (0, 2)"),
-    "snippet": "SELECT doc_id, regexp_replace(trim(text), '\\s+', ' ', 'g')[1:220] AS snippet FROM documents",
+    "front_matter": _front_matter(),
+    "embedded_chunks": _embedded_chunks(),
+    "notes_search": _notes_search(),
+    "sidecar_status": "SELECT count(*) AS chunks, count(*) AS notes FROM embeddings",
+    "snippet": f"SELECT doc_id, trim(regexp_replace(text, '{BLANKS}', ' ', 'g'), ' ')[1:220] AS snippet FROM documents",
 }
+
+ORACLE_SQL["save_load_search"] = ORACLE_SQL["ivf_rerank"]
