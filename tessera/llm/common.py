@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a keyed table that may be broadcast; with 16-byte keys this stays near 20 MB. Beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: What of a table may be broadcast, in rows and in bytes of its values. Beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts, [\x20\x09-\x0D].
@@ -19,8 +20,11 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that the cluster shares (spark.checkpoint.dir). Without one only a local session has its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+    return found or "file:///tmp/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,6 +88,24 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of few rows, counted beforehand; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def value_bytes(df: DataFrame) -> Column:
+    """The bytes of a row's values, about: strings and binaries by their length, arrays by their members'."""
+
+    def size(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(16).cast("long"), lambda s, x: s + size(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return sum((size(c[f.name], f.dataType) for f in kind), F.lit(8))
+        if isinstance(kind, T.MapType):
+            return size(F.map_keys(c), T.ArrayType(kind.keyType)) + size(F.map_values(c), T.ArrayType(kind.valueType))
+        return F.lit(8)
+
+    return sum((size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16)).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast a table of few rows (BROADCAST_ROWS) and few bytes, both counted; another one is left to a shuffled join."""
+    r = df.select(value_bytes(df).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if r.n <= (BROADCAST_ROWS if rows is None else rows) and r.b <= BROADCAST_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, overlay, packed, text_of, wide_hash, written
+from .common import BROADCAST_ROWS, ascii_lower, maybe_broadcast, overlay, packed, text_of, wide_hash, written
 
 #: Words of lower-cased text, and the same words of a text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,7 +80,8 @@ def decontaminate(
     or the whole of a shorter one. Windows go by their lengths. For windows of n words a document is probed at every
     s-th place with the hashes of the items' g-grams, g = n // 2 + 1 and s = n - g + 1: any occurrence of a window holds
     such a place, so none is missed. Documents with a hit there are scanned at each place for whole windows, by 128-bit
-    hashes. Words are counted on the way. Both sets of hashes are counted and broadcast up to `broadcast_rows`; larger ones go by shuffled joins.
+    hashes. Words are counted on the way. Both sets of hashes are counted, in
+    rows (`broadcast_rows`) and bytes, before they are broadcast; larger ones go by shuffled joins.
 
     Returns the columns of docs, and n_words, n_hit, n_items (long), items (sorted array of item ids as strings) and
     contaminated; columns of these names are replaced. With remove="spans" the hit words are cut out of the text, each with what stands before it; with
@@ -93,7 +94,7 @@ def decontaminate(
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # `size` values at most
 
     def fits(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
+        return maybe_broadcast(df, broadcast_rows)
 
     cols = ["__id", "__th", "__text"]
     if lengths:

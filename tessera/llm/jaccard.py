@@ -421,7 +421,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     # repeated rows are one here; a shuffle of texts only where there are any
     repeated = not own.groupBy("__id", "__th").count().where("count > 1").isEmpty()
     rows = base.dropDuplicates(["__id", "__th"]) if repeated else base
-    rows = rows.join(maybe_broadcast(copies, copies.count()), F.col("__id").eqNullSafe(F.col("ci")) & (F.col("__th") == F.col("ct")), "left_anti")
+    rows = rows.join(maybe_broadcast(copies), F.col("__id").eqNullSafe(F.col("ci")) & (F.col("__th") == F.col("ct")), "left_anti")
     reps = rows.where("__id IS NOT NULL").select(F.col("__id").alias("cls"), "__text")
     blobs = _postings(reps, size, percent, counts, parts)
     found = written(_candidates(blobs.repartition(parts, "p"), percent, parts, SHORT_LIST), "jaccard-candidates")
@@ -441,7 +441,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
             sig, blob = [signature(s) for s in each], [s.tobytes() for s in each]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sig, pa.binary()), pa.array(blob, pa.binary())], names=["cls", "sig", "blob"])
 
-    texts = reps.join(maybe_broadcast(asked, asked.count()), F.col("cls") == F.col("c"), "left_semi")
+    texts = reps.join(maybe_broadcast(asked), F.col("cls") == F.col("c"), "left_semi")
     sets = written(texts.mapInArrow(pack_sets, "cls long, sig binary, blob binary"), "jaccard-sets")
     pairs = written(_close_pairs(pairs, sets, percent), "jaccard-close")
 
@@ -477,7 +477,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = rows.groupBy(F.col("c").alias("bc")).agg(F.max(F.struct("n", "i", "t")).alias("best"))
     gone = rows.join(best, (F.col("c") == F.col("bc")) & (F.struct("n", "i", "t") != F.col("best"))).select("i", "t")
     gone = written(gone, "jaccard-gone")
-    left = base.join(maybe_broadcast(gone, gone.count()), (F.col("__id") == F.col("i")) & (F.col("__th") == F.col("t")), "left_anti")
+    left = base.join(maybe_broadcast(gone), (F.col("__id") == F.col("i")) & (F.col("__th") == F.col("t")), "left_anti")
     again = written(left.where("__id IS NOT NULL").groupBy("__id", "__th").count().where("count > 1"), "jaccard-again")
     if not again.isEmpty():
         left = left.where("__id IS NOT NULL").dropDuplicates(["__id", "__th"]).unionByName(left.where("__id IS NULL"))

@@ -43,7 +43,7 @@ def line_dedup(
     )
     drops = (
         lines.join(
-            maybe_broadcast(common, common.count()),
+            maybe_broadcast(common),
             (F.col("__a") == F.col("__ca")) & (F.col("__b") == F.col("__cb")) & ~F.col("__id").eqNullSafe(F.col("__keep")),
         )
         .groupBy(F.col("__id").alias("__did"), F.col("__th").alias("__dth"))

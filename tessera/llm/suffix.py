@@ -388,11 +388,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     asked = written(asked.withColumn("kind", F.when(F.col("rows") > 1, 12).otherwise(F.col("kind"))), "suffix-asked")
     per_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi", "kind", "key")).alias("runs"))
     per_doc = written(per_doc, "suffix-questions")
-    n = per_doc.count()
     stretches = asked.count()
     same = (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))
     ids = per_doc.select("id", "th")
-    texts = keyed.select("__id", "__th", "__text").join(maybe_broadcast(ids, n), same, "left_semi")
+    texts = keyed.select("__id", "__th", "__text").join(maybe_broadcast(ids), same, "left_semi")
     # rows of equal id and text have asked once for all
     texts = texts.dropDuplicates(["__id", "__th"]).join(per_doc, same).select("__id", "__th", "__text", "runs")
     settled = _settle_windows(texts, length, max(parts, stretches // STRETCHES_IN_TASK + 1))

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import chat, components, jaccard, packing, quality, suffix, warc
+from tessera.llm import chat, common, components, jaccard, packing, quality, suffix, warc
 
 from .helpers import docs_of, lower, odd_rows, words_of
 
@@ -71,6 +71,34 @@ def test_jaccard_groups(spark, monkeypatch, short, block):
     assert jaccard.similar_groups(docs_of(spark, [])).count() == 0
 
 
+@pytest.fixture(params=["rows", "bytes"])
+def nothing_broadcast(request, monkeypatch):
+    """Tables are held to be too large to be broadcast, by their rows or by their bytes."""
+    monkeypatch.setattr(common, f"BROADCAST_{request.param.upper()}", 0)
+
+
+def test_groups_by_shuffled_joins(spark, nothing_broadcast):
+    rows = odd_rows(6, 40) + near_rows(1, 30, 3)
+    want = groups_of(rows)
+    assert {r.doc_id: r["component_id"] for r in jaccard.similar_groups(docs_of(spark, rows)).collect() if r.doc_id is not None} == want
+    assert Counter(r.doc_id for r in jaccard.one_of_each(docs_of(spark, rows)).collect()) == Counter(fullest(rows)) + Counter({None: 2})
+
+
+def test_repeats_by_shuffled_joins(spark, nothing_broadcast):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdé ") for _ in range(600))
+    rows = odd_rows(7, 30) + [(900 + i, f"{i}" * 30 + passage[rng.randint(0, 200) : rng.randint(300, 600)]) for i in range(30)]
+    out = suffix.remove_repeats(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out) == cut_rows(rows, 200)
+
+
+def test_sizes_of_values(spark):
+    rows = [(1, "é" * 1000, ["a" * 500, None], (1, "b" * 300), {"k": "v" * 200}, bytearray(100)), (None,) * 6]
+    df = spark.createDataFrame(rows, "a long, b string, c array<string>, d struct<x:long,y:string>, e map<string,string>, f binary")
+    size = sorted(r[0] for r in df.select(common.value_bytes(df)).collect())
+    assert size[0] < 300 and 3100 <= size[1] < 3600
+
+
 def test_one_of_each(spark):
     rows = odd_rows(6, 40) + near_rows(3, 20, 3)
     docs = docs_of(spark, rows)

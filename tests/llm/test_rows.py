@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, packing, pii, quality, secrets
+from tessera.llm import common, decontaminate, line_dedup, packing, pii, quality, secrets
 from tessera.llm.spans import find_spans
 
 from .helpers import CLASHING, docs_of, lower, odd_rows, words_of
@@ -24,7 +24,9 @@ def key_of(line):
     return lower(line.strip(" \t\n\x0b\x0c\r"))
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_line_dedup(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rows = odd_rows()
     holds = {}
     for i, t in rows:
