@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tokens that a block of documents is packed from at once, at least; the rest of a block never waits for the next.
+#: Tokens that a block of documents is packed from at once, at least; its last window goes on to the next block.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a worker keeps, and as many again from before: words in use stay when the rest goes.
 CACHED_WORDS = 500_000
@@ -145,12 +146,13 @@ def boundaries(ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]
     return places, costs
 
 
-def cuts(places: list[int], costs: list[int], window: int) -> list[int]:
-    """The cheapest cuts of a row of tokens, out of `places` (rising; the last is its end).
+def cuts(places: list[int], costs: list[int], window: int, rest: Callable[[int], int]) -> list[int]:
+    """The cheapest cuts of a row of tokens, out of `places` (rising; the last is its end, and no cut).
 
     A window from i to j costs window - (j - i) of padding, and a cut its own costs. So the best cost up to j is
     window - j + cost(j) + the least of best(i) + i over the places within the window: the front of a queue of rising
-    values, of which each place enters and leaves once. The last window isn't padded: see tail().
+    values, of which each place enters and leaves once. What stands after the last cut, a window at most, isn't padded:
+    n tokens of it cost rest(n).
     """
     at, best, back = [0, *places], [0], [0]
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best + place, number of the place)
@@ -164,7 +166,8 @@ def cuts(places: list[int], costs: list[int], window: int) -> list[int]:
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, j))
-    out, j = [], len(at) - 1
+    end = at[-1]
+    out, j = [], min((best[j] + rest(end - at[j]), -j) for j in range(bisect_left(at, end - window), len(at) - 1))[1] * -1
     while j:
         out.append(at[j])
         j = back[j]
@@ -180,12 +183,20 @@ def tail(start: int, end: int, window: int) -> list[int]:
     return out or [end]
 
 
-def pack_block(lengths: list[int], places: list[list[int]], costs: list[list[int]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces of a block of documents: (document, start, length, sequence, offset); both numbers count from 0."""
+def pack_block(lengths: list[int], places: list[list[int]], costs: list[list[int]], window: int, final: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """Pieces of a block of documents: (document, start, length, sequence, offset); both numbers count from 0.
+
+    What stands after the last full window is cut at powers of two in the final block, at the costs of inner cuts; it is
+    left out of others, at no cost.
+    """
     base = np.concatenate(([0], np.cumsum(lengths))).tolist()
-    chosen = cuts([b + p for b, ps in zip(base, places, strict=False) for p in ps], [c for cs in costs for c in cs], window)
-    last = chosen[-2] if len(chosen) > 1 else 0
-    chosen = chosen[:-1] + tail(last, chosen[-1], window)
+
+    def rest(n: int) -> int:
+        return INNER_CUT * (n.bit_count() - 1) if final and n != window else 0
+
+    chosen = cuts([b + p for b, ps in zip(base, places, strict=False) for p in ps], [c for cs in costs for c in cs], window, rest)
+    if final:
+        chosen += tail(chosen[-1] if chosen else 0, base[-1], window)
     out, doc, at = [], 0, 0
     for sequence, end in enumerate(chosen):
         began = at
@@ -203,8 +214,9 @@ def pack(
 
     A document is the ids of its whole text and then `end_id`. The tokens of a partition are a row in the order in which
     the table is read; dynamic programming cuts it at the ends of documents and sentences (elsewhere only where there is
-    no such place for INNER_STEP tokens), minimising padding plus the costs of cuts. What is left over at the end of a
-    block is cut at powers of two. There is no shuffle, and memory holds a block (BLOCK_TOKENS, or one longer document).
+    no such place for INNER_STEP tokens), minimising padding plus the costs of cuts. What is left over at the end of the
+    partition is cut at powers of two, which take no padding: twelve more cuts at most, for all its sequences. There is no
+    shuffle, and memory holds a block (BLOCK_TOKENS, or one longer document).
 
     Returns the columns of `keep`, and start, length, ids_crc32, doc_tokens, sequence_id and offset (long). sequence_id
     is the partition times 2^32 and the sequence in it. A null or empty text gives its end_id alone. Rows are packed one
@@ -219,16 +231,22 @@ def pack(
         ids: list[bytes] = []
         places: list[list[int]] = []
         costs: list[list[int]] = []
-        held = 0
+        held = skip = 0  # tokens to be packed, and those of the first document that are packed already
         close = np.asarray([end_id], "<u4").tobytes()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, held
+        def flush(final: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, held, skip
             if not ids:
                 return
             lengths = [len(b) // 4 for b in ids]
-            pieces = pack_block(lengths, places, costs, window)
-            kept = pa.Table.from_batches(rows).take(pa.array([p[0] for p in pieces], pa.int64()))
+            left = [lengths[0] - skip, *lengths[1:]]
+            if skip:
+                gone = bisect_right(places[0], skip)
+                places[0], costs[0] = [p - skip for p in places[0][gone:]], costs[0][gone:]
+            pieces = pack_block(left, places, costs, window, final)
+            pieces = [(d, s + skip if d == 0 else s, n, q, o) for d, s, n, q, o in pieces]
+            table = pa.Table.from_batches(rows)
+            kept = table.take(pa.array([p[0] for p in pieces], pa.int64()))
             new = {
                 "start": [p[1] for p in pieces],
                 "length": [p[2] for p in pieces],
@@ -239,10 +257,18 @@ def pack(
             }
             for k in COLUMNS.names:
                 kept = kept.append_column(k, pa.array(new[k], pa.int64()))
+            # what is left begins in the document of the last piece, or with the one after it
             sequence += pieces[-1][3] + 1
-            held = 0
-            for x in (rows, ids, places, costs):
-                x.clear()
+            first, skip = pieces[-1][0], pieces[-1][1] + pieces[-1][2]
+            if skip == lengths[first]:
+                first, skip = first + 1, 0
+            if skip:  # places count from the document's start
+                packed_before = lengths[first] - left[first]
+                places[first] = [p + packed_before for p in places[first]]
+            held = sum(lengths[first:]) - skip
+            rows[:] = table.slice(first).to_batches() if first < len(ids) else []
+            for x in (ids, places, costs):
+                del x[:first]
             yield from kept.combine_chunks().to_batches()
 
         for batch in batches:
@@ -253,13 +279,13 @@ def pack(
                 where, cost = boundaries(np.frombuffer(ids[-1], "<u4"), coder.ends)
                 places.append(where)
                 costs.append(cost)
-                if held >= BLOCK_TOKENS:
+                if held >= max(BLOCK_TOKENS, 4 * window):
                     rows.append(others.slice(began, i + 1 - began))
                     began = i + 1
                     yield from flush()
             if began < batch.num_rows:
                 rows.append(others.slice(began))
-        yield from flush()
+        yield from flush(final=True)
 
     return docs.select(*[F.col(f"`{k}`") for k in names], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
 

@@ -440,9 +440,36 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, []), tokenizer=path).count() == 0
 
 
-def test_packing_cuts_are_the_cheapest():
+@pytest.mark.parametrize("block", [1, 3000, 1 << 20])
+def test_packing_goes_on_from_block_to_block(spark, monkeypatch, block):
+    """Whatever the blocks: each id in one piece, sequences without gaps, and one tail of a partition, not of a block."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", block)
+    rng, window = random.Random(block), 256
+    rows = [(i, ". ".join(" ".join(rng.choice(["one", "two", "three", "unusualwords"]) for _ in range(rng.randint(1, 30))) for _ in range(rng.choice([0, 1, 3, 9, 60])))) for i in range(120)]
+    rows += [(200, "word " * 5000), (201, None), (202, "")]
+    path = packing.default_tokenizer()
+    coder = packing.WordIds(path)
+    out = packing.pack(docs_of(spark, rows, 1), tokenizer=path, window=window).collect()
+    ids = {i: np.array(coder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in rows}
+    by_doc, sizes = {}, {}
+    for r in out:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
+        sizes.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, pieces in by_doc.items():
+        assert [s for s, _ in sorted(pieces)] == [0, *np.cumsum([n for _, n in sorted(pieces)])[:-1].tolist()] and sum(n for _, n in pieces) == len(ids[i])
+    assert set(by_doc) == set(ids)
+    for pieces in sizes.values():
+        assert [o for o, _ in sorted(pieces)] == [0, *np.cumsum([n for _, n in sorted(pieces)])[:-1].tolist()]
+    full = [sum(n for _, n in sizes[q]) for q in sorted(sizes)]
+    assert sorted(sizes) == list(range(len(sizes))) and max(full) <= window
+    assert sum(n <= window // 2 for n in full) <= 8 and sum(window - n for n in full if n & (n - 1)) < 0.1 * sum(full)
+
+
+@pytest.mark.parametrize("rest", [lambda n: 0, lambda n: 7 * (n.bit_count() - 1)])
+def test_packing_cuts_are_the_cheapest(rest):
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for _ in range(40):
         places = np.unique(rng.integers(1, 200, 30)).tolist()
         costs = rng.integers(0, 9, len(places)).tolist()
         window = max(60, max(np.diff([0, *places])))
@@ -451,9 +478,11 @@ def test_packing_cuts_are_the_cheapest():
             for i in range(j):
                 if at[j] - at[i] <= window:
                     best[j] = min(best[j], best[i] + window - (at[j] - at[i]) + costs[j - 1])
-        chosen = [0, *packing.cuts(places, costs, int(window))]
-        cost = sum(window - (b - a) + costs[places.index(b)] for a, b in zip(chosen, chosen[1:], strict=False))
-        assert cost == best[-1]
+        least = min(best[j] + rest(at[-1] - at[j]) for j in range(len(at) - 1) if at[-1] - at[j] <= window)
+        chosen = packing.cuts(places, costs, int(window), rest)
+        ends = [0, *chosen]
+        cost = sum(window - (b - a) + costs[places.index(b)] for a, b in zip(ends, chosen, strict=False)) + rest(places[-1] - ends[-1])
+        assert cost == least and all(b - a <= window for a, b in zip(ends, [*chosen, places[-1]], strict=False))
 
 
 def test_packing_tail_and_padding():
