@@ -261,10 +261,7 @@ class VectorIndex:
         Zero queries and an empty filter give no rows; filter_ids (a collection or a DataFrame of id) restricts before
         scoring. Queries go in blocks of bounded size, each in one scan.
         """
-        if k < 1:
-            raise ValueError(f"k is {k}; it must be 1 at least")
-        self._check_options(k, options)
-        self._ready("search")
+        self._check_search(k, options)
         query_type = queries.schema["query_id"].dataType
         out = None
         if self.segments:
@@ -276,6 +273,12 @@ class VectorIndex:
             out = ranked(self.spark.createDataFrame([], result_schema(query_type, id_type)), k)
         return out
 
+    def _check_search(self, k: int, options: dict[str, Any]) -> None:
+        if k < 1:
+            raise ValueError(f"k is {k}; it must be 1 at least")
+        self._check_options(k, options)
+        self._ready("search")
+
     def _check_options(self, k: int, options: dict[str, Any]) -> None:
         if options:
             raise TypeError(f"unknown options: {', '.join(options)}")
@@ -284,9 +287,13 @@ class VectorIndex:
         return ranked(scan(self._filtered(filter_ids), ids, query_type, k, every(self._scorer(q, **options))), k)
 
     def search(self, query: Any, k: int = 10, *, filter_ids: Any = None, **options: Any) -> list[tuple[Any, float]]:
-        """[(id, score)] of one query, best first."""
-        q = self.spark.createDataFrame([(0, [float(x) for x in np.asarray(query).ravel()])], "query_id long, embedding array<double>")
-        return [(r.id, r.score) for r in self.search_batch(q, k, filter_ids=filter_ids, **options).orderBy("rank").collect()]
+        """[(id, score)] of one query, best first: one job, as the query needs no table."""
+        self._check_search(k, options)
+        q = np.asarray(query, np.float64).reshape(1, -1)
+        if not self.segments or np.sqrt((q * q).sum()) < kernels.TINY:
+            return []
+        hits = self._search_block([0], T.LongType(), self._prepared(q), k, filter_ids, options)
+        return [(r.id, r.score) for r in sorted(hits.collect(), key=lambda r: r.rank)]
 
     def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Pairwise, k: int) -> DataFrame:
         """Rows of a pool (query_id, id) of at most pool_rows, scored anew, each for its own query; `rows` hold them."""

@@ -29,13 +29,19 @@ def training_sample(vectors: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
 
 def seed_centers(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++: each next center is drawn by squared distance; uniformly once all distances are zero."""
+    squares = np.einsum("rd,rd->r", x, x)
+
+    def distances(at: int) -> np.ndarray:
+        d2 = squares - 2 * (x @ x[at]) + squares[at]
+        return np.where(d2 > 1e-12 * (squares + squares[at]), d2, 0.0)  # equal rows are at no distance, whatever rounding leaves
+
     chosen = [int(rng.integers(len(x)))]
-    d2 = ((x - x[chosen[0]]) ** 2).sum(1)
+    d2 = distances(chosen[0])
     while len(chosen) < k:
         total = d2.sum()
         at = int(np.searchsorted(np.cumsum(d2), rng.random() * total, side="right")) if total > 1e-12 else int(rng.integers(len(x)))
         chosen.append(min(at, len(x) - 1))
-        d2 = np.minimum(d2, ((x - x[chosen[-1]]) ** 2).sum(1))
+        d2 = np.minimum(d2, distances(chosen[-1]))
     return x[chosen]
 
 
