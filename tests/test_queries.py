@@ -33,3 +33,33 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recall_of_trained_indexes_by_brute_force(spark):
+    """fit_recall against matrices: decoded vectors, all rows scored, top ten compared with the exact ones."""
+    import numpy as np
+
+    from tessera.operators.product import ProductIndex
+    from tessera.plans import queries as q
+
+    got = {r["index"]: (r.recall, r.n) for r in entry.queries()["fit_recall"](spark, SF).collect()}
+    rows = q.vectors(spark, SF)
+    table = rows.orderBy("id").collect()
+    ids, x = np.array([r.id for r in table]), np.array([r.embedding for r in table], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = unit[ids % 100 == 0]
+
+    def best(scores):
+        return [set(ids[np.lexsort((ids, -np.round(s, 9)))[:10]].tolist()) for s in scores]
+
+    truth = best(asked @ unit.T)
+    for name, options in (("product", {}), ("product, balanced", {"use_opq": True})):
+        index = ProductIndex(spark, 64, 16, 64, **options)
+        index.fit(rows)
+        turn = index.rotation if options else np.eye(64)
+        y = unit @ turn
+        decoded = np.hstack([b[((y[:, 4 * j : 4 * j + 4, None] - b.T[None]) ** 2).sum(1).argmin(1)] for j, b in enumerate(index.books)])
+        found = best(asked @ turn @ (decoded * np.linalg.norm(x, axis=1)[:, None]).T)
+        share = sum(len(a & b) for a, b in zip(found, truth, strict=True)) / (10 * len(asked))
+        assert got[name] == (round(share, 6), 10 * len(asked))
+    assert got["inverted, reranked"][0] >= max(0.8, got["inverted"][0])
