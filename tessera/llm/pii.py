@@ -217,6 +217,7 @@ def trained(spark: SparkSession, n: int = EXAMPLES, seed: int = 5) -> tuple[list
     if (n, seed) not in _models:
         made = examples(n, seed)
         texts = spark.range(1).select(F.posexplode(F.split(F.lit("\x1e".join(t for t, *_ in made)), "\x1e")).alias("__id", "__text"))
+        texts = texts.repartition(spark.sparkContext.defaultParallelism)  # one row of text would be one task's
         found = _features(_spans(texts.withColumn("__th", F.lit(0)), GENERATORS))
         halves: list[list[tuple[tuple[int, ...], bool]]] = [[], []]
         for c in found.select("__id", "s", "e", *FEATURES).collect():  # a few candidates for each example

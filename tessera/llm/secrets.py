@@ -170,7 +170,8 @@ def ordinary_steps(spark: SparkSession) -> dict[tuple[str, int], list[int]]:
         texts = spark.range(1).select(F.posexplode(F.split(F.lit(" ".join(t for *_, t in made)), " ")).alias("at", "match"))
         step = F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")
         steps: dict[tuple[str, int], list[int]] = {(e, k): [] for e in ALPHABETS for k in range(len(BANDS))}
-        for row in randomness(texts).select("at", step).collect():  # as many rows as there are ordinary runs
+        spread = texts.repartition(spark.sparkContext.defaultParallelism)  # one row of text would be one task's
+        for row in randomness(spread).select("at", step).collect():  # as many rows as there are ordinary runs
             k, e, _ = made[row["at"]]  # judged with those it was made like, be its alphabet narrower by chance
             steps[e, k].append(row.step)
         _null.update({g: [sum(x >= s for x in found) for s in range(STEPS)] for g, found in steps.items()})
