@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -82,8 +84,21 @@ def unpack(packed: np.ndarray, bits: int, count: int) -> np.ndarray:
     return (each << np.arange(bits, dtype=np.uint8)).sum(2).astype(np.uint8)
 
 
-def expand(codes: np.ndarray, bits: int) -> np.ndarray:
-    return half_centroids(bits)[codes]
+@cache
+def _expansion(bits: int) -> np.ndarray:
+    """The centroids that a byte of packed codes stands for (half of three bytes where codes have 3 bits), by its number."""
+    width = 12 if bits == 3 else 8
+    return half_centroids(bits)[(np.arange(1 << width)[:, None] >> np.arange(0, width, bits)) & ((1 << bits) - 1)]
+
+
+def expanded(packed: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The centroids of packed codes, several looked up at once."""
+    if count * bits % 8:  # one code a byte
+        return half_centroids(bits)[packed]
+    if bits == 3:
+        b = packed.reshape(len(packed), -1, 3).astype(np.int16)
+        packed = np.stack((b[:, :, 0] | (b[:, :, 1] & 15) << 8, b[:, :, 1] >> 4 | b[:, :, 2] << 4), axis=2).reshape(len(packed), -1)
+    return np.take(_expansion(bits), packed, axis=0).reshape(len(packed), count)
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.codebooks import padded_dim
-from .topk import every, query_blocks, ranked, result_schema, scan
+from .topk import Ranker, every, of_one, query_blocks, ranked, result_schema, scan
 
 #: What is broadcast at most, in rows and in bytes of ids; more is joined by a shuffle.
 BROADCAST_IDS, BROADCAST_BYTES = 500_000, 16 << 20
+#: One query's pool of so many ids at most goes into the plan of its reranking; a larger one is joined.
+LITERAL_IDS = 1000
 
 #: Scores of a batch: (rows, queries).
 Matrix = Callable[[pa.RecordBatch], np.ndarray]
@@ -283,26 +285,34 @@ class VectorIndex:
         if options:
             raise TypeError(f"unknown options: {', '.join(options)}")
 
-    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
-        return ranked(scan(self._filtered(filter_ids), ids, query_type, k, every(self._scorer(q, **options))), k)
+    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any], rank: Ranker = ranked) -> DataFrame:
+        return rank(scan(self._filtered(filter_ids), ids, query_type, k, every(self._scorer(q, **options))), k)
 
     def search(self, query: Any, k: int = 10, *, filter_ids: Any = None, **options: Any) -> list[tuple[Any, float]]:
-        """[(id, score)] of one query, best first: one job, as the query needs no table."""
+        """[(id, score)] of one query, best first. The query needs no table, and one query's hits no shuffle."""
         self._check_search(k, options)
         q = np.asarray(query, np.float64).reshape(1, -1)
         if not self.segments or np.sqrt((q * q).sum()) < kernels.TINY:
             return []
-        hits = self._search_block([0], T.LongType(), self._prepared(q), k, filter_ids, options)
-        return [(r.id, r.score) for r in sorted(hits.collect(), key=lambda r: r.rank)]
+        hits = self._search_block([0], T.LongType(), self._prepared(q), k, filter_ids, options, of_one)
+        return [(r.id, r.score) for r in hits.collect()]
 
-    def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Pairwise, k: int) -> DataFrame:
+    def _rescored(self, rows: DataFrame, pool: DataFrame, pool_rows: int, query_ids: list, scorer: Pairwise, k: int, rank: Ranker) -> DataFrame:
         """Rows of a pool (query_id, id) of at most pool_rows, scored anew, each for its own query; `rows` hold them."""
-        place = {q: j for j, q in enumerate(query_ids)}
+        if rank is of_one and pool_rows <= LITERAL_IDS:
+            found = [r.id for r in pool.select("id").collect()]
+            rows = rows.where(F.col("id").isin(found)).withColumn("query_id", F.lit(query_ids[0]).cast(pool.schema["query_id"].dataType))
+            return rank(self._scored_rows(rows, query_ids, scorer), k)
         pool = pool.select("query_id", "id")
         # pairs of numbers have a known size; of others the engine finds out while it runs
         numbers = all(not isinstance(f.dataType, T.StringType) for f in pool.schema)
         rows = rows.join(F.broadcast(pool) if numbers and 16 * pool_rows <= BROADCAST_BYTES else pool, "id")
-        schema = result_schema(pool.schema["query_id"].dataType, pool.schema["id"].dataType)
+        return rank(self._scored_rows(rows, query_ids, scorer), k)
+
+    def _scored_rows(self, rows: DataFrame, query_ids: list, scorer: Pairwise) -> DataFrame:
+        """(query_id, id, score) of rows that name their query."""
+        place = {q: j for j, q in enumerate(query_ids)}
+        schema = result_schema(rows.schema["query_id"].dataType, rows.schema["id"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -310,7 +320,7 @@ class VectorIndex:
                     own = np.array([place[x] for x in batch.column("query_id").to_pylist()])
                     yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(scorer(batch, own))], names=["query_id", "id", "score"])
 
-        return ranked(rows.mapInArrow(run, schema), k)
+        return rows.mapInArrow(run, schema)
 
     # -- statistics ---------------------------------------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..plans.training import TRAIN_ROWS, balancing_rotation, covariance, kmeans, train_books, training_sample
 from .index import Matrix, Pairwise, VectorIndex, changes
-from .topk import Scored, Scorer, ranked, scan
+from .topk import Ranker, Scored, Scorer, ranked, scan
 
 #: Training rows for each coarse cluster below which fit() warns.
 ROWS_PER_CLUSTER = 30
@@ -269,22 +269,22 @@ class InvertedIndex(ProductIndex):
         if threads is not None and threads < 1:
             raise ValueError(f"num_threads is {threads}; it must be 1 at least")
 
-    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
+    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any], rank: Ranker = ranked) -> DataFrame:
         rows, allowed = self._filtered(filter_ids), None
         if filter_ids is not None:  # nlist values at most
             allowed = np.array([r.cluster_id for r in rows.select("cluster_id").distinct().collect()], np.int64)
             if not len(allowed):
-                return ranked(self.spark.createDataFrame([], T.StructType([T.StructField("query_id", query_type), rows.schema["id"], T.StructField("score", T.DoubleType())])), k)
+                return rank(self.spark.createDataFrame([], T.StructType([T.StructField("query_id", query_type), rows.schema["id"], T.StructField("score", T.DoubleType())])), k)
         probes = self.probes(self._query(q), options.get("nprobe") or self.default_nprobe, allowed)
         # literal partition values: the scan lists and reads the probed clusters alone
         rows = rows.where(F.col("cluster_id").isin(np.unique(probes).tolist()))
         pool = options.get("rerank_candidates")
         scorer = self._probing(q, probes)
         if pool is None:
-            return ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, k, scorer), k)
+            return rank(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, k, scorer), k)
         pool = max(pool, k)
-        found = ranked(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, pool, scorer), pool)
-        return self._rescored(rows.select("id", "full", "norm"), found, pool * len(ids), ids, self._pairwise(q), k)
+        found = rank(scan(rows.select("id", "cluster_id", "codes", "norm"), ids, query_type, pool, scorer), pool)
+        return self._rescored(rows.select("id", "full", "norm"), found, pool * len(ids), ids, self._pairwise(q), k, rank)
 
     def cluster_sizes(self) -> DataFrame:
         """(cluster_id, n, start) of every cluster, empty ones too: start is the rows in the clusters before."""

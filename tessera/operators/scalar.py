@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.codebooks import get_codebook, half_centroids, projection, residual_scale
 from .index import Matrix, Pairwise, VectorIndex
-from .topk import every, ranked, scan
+from .topk import Ranker, every, ranked, scan
 
 
 def _width(pdim: int, bits: int) -> int:
@@ -66,8 +66,7 @@ class ScalarIndex(VectorIndex):
         projected = turned @ projection(pdim, self.seed).T if self.use_prod else None
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
-            codes = kernels.unpack(kernels.bytes_of(batch.column("codes"), width), bits, pdim)
-            out = kernels.expand(codes, bits) @ scaled.T / pdim
+            out = kernels.expanded(kernels.bytes_of(batch.column("codes"), width), bits, pdim) @ scaled.T / pdim
             if projected is not None:
                 qjl = kernels.bytes_of(batch.column("qjl"), pdim).view(np.int8).astype(np.float64)
                 rnorm = batch.column("rnorm").to_numpy(zero_copy_only=False)
@@ -141,12 +140,12 @@ class ResidualIndex(VectorIndex):
         if m is not None and m < k:
             raise ValueError(f"rerank_M ({m}) can't be less than k ({k})")
 
-    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any]) -> DataFrame:
+    def _search_block(self, ids: list, query_type: T.DataType, q: np.ndarray, k: int, filter_ids: Any, options: dict[str, Any], rank: Ranker = ranked) -> DataFrame:
         m = options.get("rerank_M")
         if m is None:
-            return super()._search_block(ids, query_type, q, k, filter_ids, {})
-        pool = ranked(scan(self._filtered(filter_ids).select("id", "codes1"), ids, query_type, m, every(self._scorer(q, coarse=True))), m)
-        return self._rescored(self.rows, pool, m * len(ids), ids, self._pairwise(q), k)
+            return super()._search_block(ids, query_type, q, k, filter_ids, {}, rank)
+        pool = rank(scan(self._filtered(filter_ids).select("id", "codes1"), ids, query_type, m, every(self._scorer(q, coarse=True))), m)
+        return self._rescored(self.rows, pool, m * len(ids), ids, self._pairwise(q), k, rank)
 
     def bytes_per_vector(self) -> int:
         return 2 * self.pdim + (0 if self.normalized else 4)

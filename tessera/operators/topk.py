@@ -22,6 +22,8 @@ DIGITS = 9
 #: Of a batch the scores of some of its rows for some of the queries: (row numbers, query numbers, rows x queries).
 Scored = tuple[np.ndarray, np.ndarray, np.ndarray]
 Scorer = Callable[[pa.RecordBatch], Iterable[Scored]]
+#: Of hits the k best: ranked() for many queries, of_one() for one.
+Ranker = Callable[[DataFrame, int], DataFrame]
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[list, np.ndarray]]:
@@ -46,6 +48,11 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def of_one(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of hits that are all one query's, best first: each partition's best k meet without a shuffle by query."""
+    return hits.orderBy(F.round("score", DIGITS).desc(), "id").limit(k)
+
+
 def result_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 

@@ -47,6 +47,9 @@ def test_packing_round_trip(bits, n, d, seed):
     packed = kernels.pack(codes, bits)
     assert packed.shape == (n, d * bits // 8)
     assert (kernels.unpack(packed, bits, d) == codes).all()
+    assert (kernels.expanded(packed, bits, d) == codebooks.half_centroids(bits)[codes]).all()
+    odd = codes[:, :3]  # bits that don't fill bytes stay one code a byte
+    assert (kernels.expanded(kernels.pack(odd, bits), bits, 3) == codebooks.half_centroids(bits)[odd]).all()
 
 
 def test_three_bit_layout():

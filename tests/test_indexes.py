@@ -119,6 +119,24 @@ def test_batch_equals_single_and_zero_queries_give_nothing(spark):
     assert not [r for r in rows if r.query_id == 2]
 
 
+@pytest.mark.parametrize("literal", [1000, 0])
+def test_one_query_is_reranked_like_many(spark, monkeypatch, literal):
+    monkeypatch.setattr("tessera.operators.index.LITERAL_IDS", literal)
+    x = clustered(400, 16, 6, 3)
+    two = ResidualIndex(spark, 16, 2, 3)
+    inverted = InvertedIndex(spark, 16, 4, 4, 16, keep_full=True)
+    inverted.fit(x, 3)
+    for index, options in ((two, {"rerank_M": 30}), (inverted, {"nprobe": 2, "rerank_candidates": 30})):
+        index.add_batch([f"v{i:03}" for i in range(400)], np.concatenate((x[:200], x[:200])))  # every score is a tie
+        rows = index.search_batch(frame(spark, x[:3], "query_id"), 5, **options).collect()
+        for j in range(3):
+            many = sorted((r.rank, r.id, r.score) for r in rows if r.query_id == j)
+            one = index.search(x[j], 5, **options)
+            assert [i for i, _ in one] == [i for _, i, _ in many]
+            assert np.allclose([s for _, s in one], [s for *_, s in many])
+        assert index.search(x[0], 5, filter_ids=["nobody"], **options) == []
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_filter_delete_and_edges(spark, kind):
     x = clustered(120, 32, 5, 8)
