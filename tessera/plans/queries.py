@@ -181,10 +181,7 @@ def q_kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
 
 def q_kmeans_step(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
-    x, c = training.training_sample(rows), first_units(rows, NLIST)
-    size, new = np.bincount(kernels.nearest(x, c), minlength=NLIST), training.lloyd(x, c, 1)
-    flat = [(k, j, round(float(new[k, j]), 6), int(size[k])) for k in range(NLIST) for j in range(DIM) if size[k]]
-    return spark.createDataFrame(flat, "cluster_id long, j int, center double, n long")
+    return training.cluster_means(rows, first_units(rows, NLIST)).select("cluster_id", "j", F.round("center", 6).alias("center"), "n")
 
 
 def q_fit_centers(spark: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,43 @@ def test_recall_of_trained_indexes_by_brute_force(spark):
         share = sum(len(a & b) for a, b in zip(found, truth, strict=True)) / (10 * len(asked))
         assert got[name] == (round(share, 6), 10 * len(asked))
     assert got["inverted, reranked"][0] >= max(0.8, got["inverted"][0])
+
+def table_of(folder, source, shifts):
+    """embeddings as a folder of parts: the table `source` once for each number its ids are shifted by."""
+    os.makedirs(f"{folder}/embeddings.parquet")
+    for k, shift in enumerate(shifts):
+        duckdb.sql(f"COPY (SELECT vec_id + {shift} AS vec_id, embedding, label FROM '{source}/embeddings.parquet') TO '{folder}/embeddings.parquet/part-{k}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def sql_of(name, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return con.sql(entry.oracle_sql()[name]).df()
+
+
+def test_kmeans_step_covers_more_rows_than_models_train_on(spark, tmp_path, monkeypatch):
+    from tessera.plans import training
+
+    monkeypatch.setattr(training, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(training.training_sample, "__defaults__", (100,))
+    folder = table_of(tmp_path, SF, (0, 1000, 2000))
+    got = entry.queries()["kmeans_step"](spark, folder).toPandas()
+    assert rows_of(got) == rows_of(sql_of("kmeans_step", folder))
+    assert got[got.j == 0].n.sum() == spark.read.parquet(f"{folder}/embeddings.parquet").count()
+
+
+def test_a_step_over_tasks_is_a_step_of_lloyd(spark):
+    import numpy as np
+
+    from tessera.functions import kernels
+    from tessera.plans import training
+
+    x = kernels.units(np.random.default_rng(3).standard_normal((9000, 16)))
+    c = x[[0, 1, 2, 1]]  # the last is nobody's: its equal comes first
+    rows = training.cluster_means(spark.createDataFrame([(v,) for v in x.tolist()], "embedding array<double>").repartition(3), c).collect()
+    got = {(r.cluster_id, r.j): (r.center, r.n) for r in rows}
+    near = kernels.nearest(x, c[:3])
+    assert {k for k, _ in got} == {0, 1, 2}
+    for k in range(3):
+        assert np.allclose([got[k, j][0] for j in range(16)], x[near == k].mean(0)) and got[k, 0][1] == (near == k).sum()
