@@ -26,7 +26,7 @@ from ..operators.product import InvertedIndex, ProductIndex
 from ..operators.scalar import ResidualIndex, ScalarIndex
 from ..operators.topk import exact_topk, recall
 from ..sources import binary, notes, store
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, table_stream
 from . import training
 
 DIM, CUT, SEED = 64, 48, 0
@@ -426,9 +426,8 @@ def q_binary_search(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 def q_streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The table as a stream, added to an index batch by batch; then a second time, which adds nothing."""
     rows, index = vectors(spark, d), ScalarIndex(spark, DIM, 4)
-    table = spark.read.parquet(f"{d}/embeddings.parquet").schema
     for k in range(2):
-        stream = spark.readStream.schema(table).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+        stream = table_stream(spark, f"{d}/embeddings.parquet")
         ingest(index, stream.select(F.col("vec_id").alias("id"), "embedding"), scratch(spark, f"stream{k}")).awaitTermination()
     return shown(index.search_batch(query_set(rows), TOP))
 

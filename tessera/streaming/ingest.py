@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import VectorIndex, changes, sized
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Parquet table as a stream, be it one file or a folder of files.
+
+    A stream takes folders only, and a name filter on the folder above finds a file alone. A pattern stands for either; this
+    one fits the path and nothing else.
+    """
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def encoded_stream(index: VectorIndex, vectors: DataFrame) -> DataFrame:
     """(id, codes, ...) of a stream of (id, embedding): no state, so any output mode and sink serve."""
     index._ready("encoded_stream")

@@ -103,3 +103,9 @@ def test_a_step_over_tasks_is_a_step_of_lloyd(spark):
     assert {k for k, _ in got} == {0, 1, 2}
     for k in range(3):
         assert np.allclose([got[k, j][0] for j in range(16)], x[near == k].mean(0)) and got[k, 0][1] == (near == k).sum()
+
+
+def test_streaming_ingest_reads_a_folder_of_files(spark, tmp_path):
+    folder = table_of(tmp_path, SF, (0, 1000, 2000))
+    got = entry.queries()["streaming_ingest"](spark, folder).toPandas()
+    assert len(got) and rows_of(got) == rows_of(sql_of("streaming_ingest", folder))
