@@ -66,26 +66,28 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """For each row its set's size and digest, and for each task the sketch's counters."""
-    schema = T.StructType.fromDDL("__id long, __th long, n long, dig binary, part binary")
+    """For each row its set's size, digest and bitmap (none of an empty set), and for each task the sketch's counters."""
+    schema = T.StructType.fromDDL("__id long, __th long, n long, dig binary, sig binary, part binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         kind = None
         for batch in batches:
-            n, dig = [], []
+            n, dig, sig = [], [], []
             kind = batch.column("__id").type
             for text in batch.column("__text"):
                 s = shingles(text.as_py() or "", size)
                 n.append(len(s))
                 dig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(signature(s) if len(s) else None)
                 np.add.at(counts, _counter(s), 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__th"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.nulls(len(n), pa.binary())], names=schema.names
+                [batch.column("__id"), batch.column("__th"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.binary())], names=schema.names
             )
         if kind is not None:
             part = zlib.compress(counts.astype("<i8").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.binary())], names=schema.names)
+            none = [pa.nulls(1, x) for x in (kind, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([part], pa.binary())], names=schema.names)
 
     return docs.select("__id", "__th", "__text").mapInArrow(run, schema)
 
@@ -284,7 +286,7 @@ def links_within(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], pe
     return edges
 
 
-def _close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _close_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps don't rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,7 @@ def _close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [may_link(*row, percent) for row in zip(*cols, strict=True)]
             yield batch.select(["a", "b", "cnt"]).filter(pa.array(ok, pa.bool_()))
 
-    x, y = sets.select(F.col("cls").alias("a"), F.col("sig").alias("x")), sets.select(F.col("cls").alias("b"), F.col("sig").alias("y"))
+    x, y = bitmaps.select(F.col("cls").alias("a"), F.col("sig").alias("x")), bitmaps.select(F.col("cls").alias("b"), F.col("sig").alias("y"))
     return pairs.select("a", "b", "cnt", "na", "nb").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, cnt long")
 
 
@@ -432,18 +434,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     posts = found.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("cls"), F.col("na").alias("n"), F.col("la").alias("pos"))
     posts = written(posts.join(posts.groupBy("tok").count().where("count > 1").select("tok"), "tok", "left_semi"), "jaccard-postings")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(posts.select(F.col("cls").alias("c"))).distinct()
-    asked = written(needed, "jaccard-asked")
+    # most pairs share a place by chance: bitmaps, made when the texts were read first, rule them out before a set is made
+    def of_pairs() -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("c"))
+
+    asked = written(of_pairs().distinct(), "jaccard-asked")
+    bitmaps = own.where("n > 0 AND __id IS NOT NULL")
+    bitmaps = bitmaps.dropDuplicates(["__id", "__th"]) if repeated else bitmaps
+    bitmaps = bitmaps.join(maybe_broadcast(copies), (F.col("__id") == F.col("ci")) & (F.col("__th") == F.col("ct")), "left_anti")
+    bitmaps = bitmaps.select(F.col("__id").alias("cls"), "sig").join(maybe_broadcast(asked), F.col("cls") == F.col("c"), "left_semi")
+    pairs = written(_close_pairs(pairs, bitmaps, percent), "jaccard-close")
 
     def pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [shingles(t.as_py() or "", size) for t in batch.column("__text")]
-            sig, blob = [signature(s) for s in each], [s.tobytes() for s in each]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sig, pa.binary()), pa.array(blob, pa.binary())], names=["cls", "sig", "blob"])
+            blob = [shingles(t.as_py() or "", size).tobytes() for t in batch.column("__text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(blob, pa.binary())], names=["cls", "blob"])
 
-    texts = reps.join(maybe_broadcast(asked), F.col("cls") == F.col("c"), "left_semi")
-    sets = written(texts.mapInArrow(pack_sets, "cls long, sig binary, blob binary"), "jaccard-sets")
-    pairs = written(_close_pairs(pairs, sets, percent), "jaccard-close")
+    needed = written(of_pairs().unionByName(posts.select(F.col("cls").alias("c"))).distinct(), "jaccard-needed")
+    texts = reps.join(maybe_broadcast(needed), F.col("cls") == F.col("c"), "left_semi")
+    sets = written(texts.mapInArrow(pack_sets, "cls long, blob binary"), "jaccard-sets")
 
     ways = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "cnt").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "cnt"))
     first = ways.groupBy("x").agg(F.max(F.struct("cnt", -F.col("y"))).alias("m")).select("x", (-F.col("m")["col2"]).alias("y"))

@@ -143,6 +143,25 @@ def test_bitmaps_rule_out_no_link():
     assert not jaccard.may_link(len(a), jaccard.signature(a), len(b), jaccard.signature(b), 80)
 
 
+def test_sets_are_made_only_of_what_bitmaps_leave(spark, monkeypatch):
+    """Texts that share half with the next one, and one pair of near copies: only the latter's sets are shipped."""
+    seen = {}
+
+    def kept(df, name):
+        seen[name] = common.written(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    r = random.Random(11)
+    parts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(30)) for _ in range(200)]
+    rows = [(i, f"{parts[i]} {parts[(i + 1) % 200]}") for i in range(200)]
+    rows.append((200, rows[7][1] + " more"))
+    got = {x.doc_id: x.component_id for x in jaccard.similar_groups(docs_of(spark, rows)).collect()}
+    assert got == {i: 7 if i == 200 else i for i in range(201)}
+    assert seen["jaccard-pairs"].count() > seen["jaccard-close"].count()
+    assert {x.cls for x in seen["jaccard-sets"].collect()} == {7, 200}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, x) for x in range(100, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (1, 0)]
